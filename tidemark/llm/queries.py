@@ -1,0 +1,25 @@
+"""Queries of the problems tagged llm, and their SQL where SQL can express them on whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm.encode import encode_corpus
+from tidemark.llm.runs import window_runs
+from tidemark.plans.durable import table
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return window_runs(table(spark, folder, "activity")).where("n_captures >= 2").select("monitor_index", "first_id", "last_id")
+
+
+def p2_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return window_runs(table(spark, folder, "activity"))
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_corpus(table(spark, folder, "documents")).select("doc_id", "ids")
+
+
+QUERIES = {"p2_found": p2_found, "p2_runs": p2_runs, "p6_ids": p6_ids}
+ORACLES: dict[str, str] = {}
