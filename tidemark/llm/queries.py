@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.encode import encode_corpus
+from tidemark.llm.neighbours import similar_vectors
 from tidemark.llm.runs import window_runs
 from tidemark.plans.durable import table
 
@@ -17,9 +19,18 @@ def p2_runs(spark: SparkSession, folder: str) -> DataFrame:
     return window_runs(table(spark, folder, "activity"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = similar_vectors(table(spark, folder, "memories"))
+    return near.select(F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_vectors(table(spark, folder, "memories"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents")).select("doc_id", "ids")
 
 
-QUERIES = {"p2_found": p2_found, "p2_runs": p2_runs, "p6_ids": p6_ids}
+QUERIES = {"p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_ids": p6_ids}
 ORACLES: dict[str, str] = {}
