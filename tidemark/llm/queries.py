@@ -6,11 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.encode import encode_corpus
+from tidemark.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from tidemark.llm.neighbours import similar_vectors
 from tidemark.llm.runs import window_runs
 from tidemark.plans.durable import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_pairs(table(spark, folder, "activity"))
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, folder, "activity"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return window_runs(table(spark, folder, "activity")).where("n_captures >= 2").select("monitor_index", "first_id", "last_id")
 
@@ -32,5 +41,5 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents")).select("doc_id", "ids")
 
 
-QUERIES = {"p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_ids": p6_ids}
 ORACLES: dict[str, str] = {}
