@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.encode import encode_corpus
 from tidemark.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from tidemark.llm.neighbours import similar_vectors
+from tidemark.llm.packing import pack_documents
 from tidemark.llm.runs import window_runs
 from tidemark.plans.durable import table
 
@@ -41,5 +42,9 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents")).select("doc_id", "ids")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_ids": p6_ids}
+def p7_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"), table(spark, folder, "prompt_windows"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_ids": p6_ids, "p7_prompts": p7_prompts}
 ORACLES: dict[str, str] = {}
