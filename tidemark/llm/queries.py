@@ -9,6 +9,7 @@ from tidemark.llm.encode import encode_corpus
 from tidemark.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from tidemark.llm.neighbours import similar_vectors
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.personal import personal_kinds, redacted_texts
 from tidemark.llm.runs import window_runs
 from tidemark.plans.durable import table
 
@@ -38,6 +39,18 @@ def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return similar_vectors(table(spark, folder, "memories"))
 
 
+def _private_texts(spark: SparkSession, folder: str) -> dict[str, tuple[DataFrame, str, str]]:
+    return {"activity": (table(spark, folder, "activity"), "id", "ocr_text"), "clipboard": (table(spark, folder, "clipboard"), "id", "text")}
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_kinds(_private_texts(spark, folder), table(spark, folder, "known_names"))
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return redacted_texts(_private_texts(spark, folder), table(spark, folder, "known_names"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents")).select("doc_id", "ids")
 
@@ -46,5 +59,5 @@ def p7_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), table(spark, folder, "prompt_windows"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_ids": p6_ids, "p7_prompts": p7_prompts}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_prompts": p7_prompts}
 ORACLES: dict[str, str] = {}
