@@ -11,6 +11,7 @@ from tidemark.llm.neighbours import similar_vectors
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.personal import personal_kinds, redacted_texts
 from tidemark.llm.runs import window_runs
+from tidemark.llm.truncation import truncated, truncation_by_source
 from tidemark.plans.durable import table
 
 
@@ -59,5 +60,13 @@ def p7_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), table(spark, folder, "prompt_windows"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_prompts": p7_prompts}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncated(table(spark, folder, "documents"))
+
+
+def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation_by_source(table(spark, folder, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_prompts": p7_prompts, "p8_found": p8_found, "p8_sources": p8_sources}
 ORACLES: dict[str, str] = {}
