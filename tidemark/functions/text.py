@@ -84,7 +84,7 @@ def camel_parts(name: Column) -> Column:
 
 def section(text: Column, heading: str) -> Column:
     """The body under '## heading' up to the next such heading, trimmed; '' when there is none."""
-    return F.trim(F.regexp_extract(text, rf"(?ms)^##[ \t]+{heading}[ \t]*\n(.*?)(?=^##\s|\z)", 1))
+    return F.regexp_replace(F.regexp_extract(text, rf"(?ms)^##[ \t]+{heading}[ \t]*\n(.*?)(?=^##\s|\z)", 1), r"^\s+|\s+$", "")
 
 
 def bullets(body: Column) -> Column:

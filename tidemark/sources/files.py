@@ -21,7 +21,7 @@ METRICS = T.StructType(
 
 def project_files(spark: SparkSession, root: str, name: str = CONTEXT_FILE) -> DataFrame:
     """(name, value): each project folder's Markdown file as one row; template and hidden folders are skipped. An empty root gives no rows."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     named = files.select(F.url_decode(folder).alias("name"), "value")
     return named.where(~F.col("name").isin(*SKIPPED) & ~F.startswith("name", F.lit(".")))
@@ -46,7 +46,7 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
 
 def vocabulary_file(spark: SparkSession, path: str, layer: str) -> DataFrame:
     """(layer, key, value) of a JSON file with one object of phrases; a broken file or other JSON gives no entries."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"})
     return text.select(F.explode(entries)).where("value is not null").select(F.lit(layer).alias("layer"), "key", "value")
 
