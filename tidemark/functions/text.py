@@ -223,3 +223,9 @@ def time_label(seconds: Column, pattern: str = "HH:mm:ss") -> Column:
 def audio_seconds(n_bytes: Column) -> Column:
     """Length of 16 kHz, 16-bit mono audio."""
     return n_bytes / (16_000 * 2)
+
+
+def context_names(text: Column, chars: int = 2000) -> Column:
+    """Compound names of six letters or more and quoted capitalised names of five or more in the beginning of a text, once each."""
+    head = F.substring(text, 1, chars)
+    return F.array_distinct(F.concat(camel_words(head, MIN_PHRASE), _all(head, r"[\"']([A-Z][a-zA-Z]{4,})[\"']")))

@@ -42,32 +42,38 @@ def drags(df: DataFrame, min_pixels: float = 20.0) -> DataFrame:
     return pressed.where(F.col("distance") > min_pixels).select("id", "distance", ((F.col("next_timestamp") - F.col("timestamp")) * 1000).cast("bigint").alias("duration_ms"))
 
 
-def _accept(times: np.ndarray, gap: float) -> np.ndarray:
-    """Greedy: a time is accepted if it is at least ``gap`` after the last accepted one."""
-    out, at = np.zeros(len(times), bool), 0
+def _accept(times: np.ndarray, gap: float, last: float) -> tuple[np.ndarray, float]:
+    """Greedy over sorted times: accepted if at least ``gap`` after the last accepted one; also gives that one for what follows."""
+    out = np.zeros(len(times), bool)
+    at = int(np.searchsorted(times, last + gap, side="left"))
     while at < len(times):
         out[at] = True
-        at = int(np.searchsorted(times, times[at] + gap, side="left"))
-    return out
+        last = times[at]
+        at = int(np.searchsorted(times, last + gap, side="left"))
+    return out, last
 
 
 def debounced(df: DataFrame, group: str, gap: float, time: str = "timestamp", key: str = "id") -> DataFrame:
     """Rows of each group that are at least ``gap`` seconds after the last accepted one, with all columns.
 
-    A pause of ``gap`` or more before a row makes it accepted whatever came before, so a group falls
-    apart at its pauses into bursts that are decided alone; a hot group is spread over its bursts.
-    Rows with a null group, key or unusable time are left out. Equal times: smaller key first.
+    One pass over rows sorted by group, time and key that remembers a single time; no group is ever
+    held in memory. Rows with a null group, key or unusable time are left out. Equal times: smaller key first.
     """
     rows = df.where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col(time).isNotNull() & ~F.isnan(time))
-    window = Window.partitionBy(group).orderBy(time, key)
-    begins = F.when(F.coalesce(F.col(time) - F.lag(time).over(window) >= gap, F.lit(True)), F.struct(F.col(time), F.col(key)))
-    bursts = rows.withColumn("__begins", begins).withColumn("__burst", F.last("__begins", True).over(window.rowsBetween(Window.unboundedPreceding, 0))).drop("__begins")
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values([time, key], kind="stable")
-        return ordered[_accept(ordered[time].to_numpy(float), gap)]
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, last = None, -np.inf
+        for pdf in batches:
+            names, times = pdf[group].to_numpy(), pdf[time].to_numpy(float)
+            begins = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(pdf) else np.array([], int)
+            keep = np.zeros(len(pdf), bool)
+            for begin, end in zip(begins, np.append(begins[1:], len(pdf))):
+                if names[begin] != current:
+                    current, last = names[begin], -np.inf
+                keep[begin:end], last = _accept(times[begin:end], gap, last)
+            yield pdf[keep]
 
-    return bursts.groupBy(group, "__burst").applyInPandas(decide, bursts.schema).drop("__burst")
+    return rows.repartition(group).sortWithinPartitions(group, time, key).mapInPandas(scan, rows.schema)
 
 
 MAX_CLIP_CHARS = 10_000
@@ -151,3 +157,26 @@ def replayed(keys: DataFrame, group: str) -> DataFrame:
         "k", F.lit(""), lambda text, k: F.when(k["is_backspace"], F.substring(text, F.lit(1), F.greatest(F.length(text) - 1, F.lit(0)))).otherwise(F.concat(text, F.coalesce(k["key_char"], F.lit(""))))
     )
     return keys.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("nth", "key_char", F.coalesce("is_backspace", F.lit(False)).alias("is_backspace")))).alias("k")).select(group, folded.alias("text"))
+
+
+def monitor_crossings(df: DataFrame, group: str, min_pixels: float = 200.0) -> DataFrame:
+    """Rows of (id, timestamp, x, y, monitor_index) where the pointer jumps at least ``min_pixels`` onto another monitor than it last jumped to: (group, id, from_monitor, to_monitor).
+
+    After each far step the remembered monitor is that step's own, so a look at the far step before
+    is enough; before the first one it is the group's first monitor. Rows without position or time are left out.
+    """
+    rows = df.where("x is not null and y is not null and timestamp is not null and monitor_index is not null")
+    window = Window.partitionBy(group).orderBy("timestamp", "id")
+    step = F.sqrt(F.pow(F.col("x") - F.lag("x").over(window), 2) + F.pow(F.col("y") - F.lag("y").over(window), 2))
+    far = rows.withColumn("step", step).withColumn("first_monitor", F.first("monitor_index").over(window)).where(F.col("step") >= min_pixels)
+    jumps = far.withColumn("from_monitor", F.coalesce(F.lag("monitor_index").over(window), "first_monitor"))
+    return jumps.where("from_monitor <> monitor_index").select(group, "id", "from_monitor", F.col("monitor_index").alias("to_monitor"))
+
+
+def without_repeated_content(df: DataFrame, content: str, seconds: float, time: str = "timestamp", key: str = "id") -> DataFrame:
+    """Rows whose content hash was not accepted within ``seconds`` before; null contents are kept.
+
+    Rows are grouped by hash, so one group holds only copies of one content.
+    """
+    named = df.withColumn("__hash", F.xxhash64(content))
+    return debounced(named.where(F.col(content).isNotNull()), "__hash", seconds, time, key).drop("__hash").unionByName(df.where(F.col(content).isNull()))

@@ -166,7 +166,7 @@ _APPS = _ACT + ", apps AS (SELECT coalesce(nullif(app_name, ''), 'unknown') AS a
 _COLD = _MEM + """, lines AS (SELECT *, CAST(floor(updated_at / 900) * 900 AS DOUBLE) AS window_start, CASE WHEN coalesce(key, '') <> '' AND coalesce(value, '') <> '' THEN key || chr(10) || value ELSE coalesce(nullif(key, ''), value, '') END AS line
   FROM mem WHERE updated_at IS NOT NULL),
  cold AS (SELECT window_start, window_start + 900 AS window_end, coalesce(string_agg(line, chr(10) ORDER BY updated_at, id) FILTER (line <> ''), '') AS text_content, count(*) AS entry_count,
-  array_to_string(list_sort(list(DISTINCT modality) FILTER (modality IS NOT NULL)), ',') AS modalities, string_agg(key, ',' ORDER BY updated_at, id) AS keys FROM lines GROUP BY window_start)"""
+  coalesce(array_to_string(list_sort(list(DISTINCT modality) FILTER (modality IS NOT NULL)), ','), '') AS modalities, string_agg(key, ',' ORDER BY updated_at, id) AS keys FROM lines GROUP BY window_start)"""
 ORACLES = {
     "c3_interval_join": STORED + "SELECT l.event_id AS l_event_id, r.event_id AS r_event_id FROM stored l JOIN stored r ON r.timestamp > l.timestamp AND r.timestamp < l.timestamp + 30 WHERE l.event_type = 'transcription' AND r.event_type = 'correction_detected'",
     "c4_screen_context": STORED + "SELECT l.event_id AS l_event_id, string_agg(r.p->>'$.ocr_text', ' ' ORDER BY r.timestamp, r.event_id) AS screen_text, count(*) AS n FROM stored l JOIN stored r ON r.timestamp > l.timestamp - 60 AND r.timestamp < l.timestamp + 60 WHERE l.event_type = 'transcription' AND r.event_type = 'ocr_result' AND TRY_CAST(r.p->>'$.ocr_confidence' AS DOUBLE) >= 0.75 GROUP BY 1",

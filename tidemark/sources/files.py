@@ -103,3 +103,27 @@ def synthetic_events(spark: SparkSession, hours: float, start: float, seed: int
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def best_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    """(frame_path, timestamp, monitor_index, type, content): each frame as the text of its JSON companion when that can be read, else as an image (content null)."""
+    shown = frames(spark, folder).withColumn("stem", F.regexp_replace("frame_path", r"\.[^.]+$", ""))
+    texts = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
+    meta = texts.select(F.regexp_replace(F.url_decode("_metadata.file_path"), r"\.[^.]+$", "").alias("stem"), F.try_variant_get(F.try_parse_json("value"), "$.text", "string").alias("content"))
+    same = lambda c: F.regexp_replace(c, r"^file:/+", "/")
+    joined = shown.withColumn("stem", same("stem")).join(meta.withColumn("stem", same("stem")), "stem", "left")
+    return joined.select("frame_path", "timestamp", "monitor_index", F.when(F.col("content").isNotNull(), "text").otherwise("image").alias("type"), "content")
+
+
+def kept_frames(frames: DataFrame, as_of: float, max_age_seconds: float = 1800.0) -> DataFrame:
+    """Frames not older than the buffer's age."""
+    return frames.where(F.col("timestamp") >= as_of - max_age_seconds)
+
+
+def context_vocabulary(projects: DataFrame, skip: tuple[str, ...] = ("personal finance", "stock market", "tax prep", "death planning", "island model", "screen context")) -> DataFrame:
+    """(layer, key, value) of project files (name, value): folder names and names in their beginnings, keyed by their spaced form; the first project by name wins."""
+    from tidemark.functions.text import camel_phrase, context_names
+
+    named = projects.select("name", F.posexplode(F.concat(F.array("name"), F.array_sort(context_names(F.col("value"))))).alias("at", "word"))
+    phrased = named.withColumn("key", camel_phrase(F.col("word"))).where(F.col("key").isNotNull() & ~F.col("key").isin(*skip))
+    return phrased.groupBy("key").agg(F.min_by("word", F.struct("name", "at")).alias("value")).select(F.lit("context").alias("layer"), "key", "value")
