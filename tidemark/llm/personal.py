@@ -19,7 +19,7 @@ TOP_LEVEL = "com|net|org|edu|gov|info|biz|example|test|invalid|localhost|io|co|d
 #: File endings that look like a top-level domain after an "@2x" or the like.
 FILE_ENDINGS = "png|jpg|jpeg|gif|svg|webp|css|js|ts|py|rs|md|sql|csv|toml|json|txt|pdf"
 #: What names a number that is nobody's.
-THING_CUES = "lot part partno no sku isbn order ord tracking invoice build epoch seq serial version rev ticket batch item rows row size code ref stock model lane port pid commit sha case issue".split()
+THING_CUES = "lot part partno no sku isbn ord tracking build epoch seq serial version rev batch rows pid sha".split()
 ID_CUES = r"ssn|social\s+security(?:\s+(?:no|number))?|national\s+(?:id|insurance)(?:\s+(?:no|number))?|passport(?:\s+(?:no|number))?|pasaporte|reisepass|passeport|dni|nif|nie|nino|steuer[-–\s]?id(?:nr)?|tax\s+id|personnummer|personalausweis|id\s+card|driver'?s\s+licen[cs]e|sozialversicherung\w*|sécurité\s+sociale|n°\s*sécu"
 STREETS = "street|st|road|rd|avenue|ave|lane|ln|close|row|drive|dr|terrace|court|ct|boulevard|blvd|place|pl|square|sq|crescent|way|walk|hill|gardens|grove|mews|parade|alley"
 HONORIFICS = "mr|mrs|ms|miss|mx|dr|prof|mme|mlle|monsieur|madame|herr|frau|sr|sra|señor|señora|don|doña"
@@ -34,22 +34,25 @@ NOT_A_NAME = re.compile(rf"(?:{HONORIFICS}|{GREETINGS}|kind|best|from|to|rückru
 _LOCAL = r"[\w.+\-]*\w"
 _AT = r"(?:\s?@\s?|\s?[\[(]\s?at\s?[\])]\s?|%40|\s+at\s+(?=[\w\-]+(?:\s+dot\s+[\w\-]+)*\s+dot\s))"
 _DOT = r"(?:\s?\.\s?|\s?[\[(]\s?(?:dot|\.)\s?[\])]\s?|\s+dot\s+)"
-EMAIL = re.compile(rf"(?i)(?<![\w@/])(?P<local>{_LOCAL}){_AT}(?P<domain>[\w\-]+(?:{_DOT}[\w\-]+)*?{_DOT}(?P<top>[a-z]{{2,}}))(?![\w@])(?P<after>:[\w/~.])?")
-LINK = re.compile(r"(?i)\b[a-z][a-z0-9+.\-]*://\S+|\bwww\.\S+|(?<!\w)@\w+|\b[\w.\-]+@[\w.\-]+(?::\S+)?|\b[a-z]:\\\S+|(?<!\w)~?/\S*|\b\w+(?:[_/\\]\w+)+(?:\.\w+)?")
+# a known ending may come with blanks and spelt-out dots, any other only as it should be written
+EMAIL = re.compile(
+    rf"(?i)(?<![\w@/])(?P<local>{_LOCAL}){_AT}(?P<domain>[\w\-]+(?:{_DOT}[\w\-]+)*?{_DOT}(?P<top>{TOP_LEVEL})(?![\w\-])(?!\.\w)(?!\s?dot\s)|(?:[\w\-]+\.)+(?P<other>[a-z]{{2,6}})(?![\w\-@])(?!\.\w))(?P<after>:[\w/~.])?"
+)
+LINK = re.compile(r"(?i)\b[a-z][a-z0-9+.\-]*://\S+|\bwww\.\S+|(?<!\w)@\w+|\b[\w.\-]+@[\w.\-]+(?::\S+)?|\b[a-z]:\\\S+|(?<!\w)~?/\S*|\b(?=[\w/\\]*[^\W\d])\w+(?:[_/\\]\w+)+(?:\.\w+)?")
 
 IDS = [
     re.compile(rf"(?i)(?:\b(?:{ID_CUES})\b\.?\s*[:#]?\s*)(?P<n>(?:[A-Z]{{0,2}} ?)?{DIGIT}[\dO \-–.]{{4,16}}[\dO](?:[-–]?[A-Z]\b)?)"),
     re.compile(rf"(?<![\w\-–.])(?P<n>{DIGIT}{{3}}[-–]{DIGIT}{{2}}[-–]{DIGIT}{{4}})(?![\w\-–])"),
     re.compile(r"(?<![\w\-–.])(?P<n>\d{8}[-–][A-Za-z])(?![\w\-–])"),
     re.compile(r"(?<![\w\-–.])(?P<n>\d{6}[-–+]\d{4})(?![\w\-–])"),
-    re.compile(r"(?<![\w\-–.])(?P<n>[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D])(?![\w\-–])"),
+    re.compile(r"(?<![\w\-–.])(?P<n>[A-Z]{2}\d{6}[A-D]|[A-Z]{2} \d{2} \d{2} \d{2} [A-D])(?![\w\-–])"),
     re.compile(r"(?<![\w\-–.:])(?P<n>\d{2} \d{3} \d{3} \d{3})(?![\w\-–])"),
     re.compile(r"(?<![\w\-–.:])(?P<n>[12] \d{2} \d{2} \d{2} \d{3} \d{3}(?: \d{2})?)(?![\w\-–])"),
 ]
 PHONES = [
     re.compile(rf"(?<![\w.\-–/@])(?P<n>(?:\+?1{DASH}?)?(?:\(\d{{3}}\){DASH}?|\d{{3}}{DASH}){DIGIT}{{3}}{DASH}[\dOIl]{{4}}(?:\s?(?:x|ext\.?)\s?\d{{1,6}})?)(?![\w\-–])"),
     re.compile(r"(?<![\w.\-–/@])(?P<n>\+\s?\d(?:[\s.\-–/()]{0,2}\d){7,14})(?!\w)"),
-    re.compile(r"(?<![\w.\-–/@+:])(?P<n>\(?0\d{1,4}\)?(?:[\s.\-–/]\d{2,6}){1,5})(?![\w\-–:])"),
+    re.compile(r"(?<![\w.\-–/@+])(?P<n>\(?0\d{1,4}\)?(?:[ .\-–/]\d{2,6}){1,5})(?![\w\-–:])"),
 ]
 PHONE_CUE = re.compile(r"(?i)(?:tel|phone|fax|mobile?|mobil|cell|call|rückruf|handy|móvil|téléphone|☎)\W{0,4}(?:\w+\W{1,2})?$")
 DATE = re.compile(r"^\d{1,2}[./\-]\d{1,2}[./\-]\d{2,4}\b|^\d{4}-\d{2}-\d{2}")
@@ -78,6 +81,8 @@ def _letters(text: str) -> str:
 
 def names_a_thing(before: str) -> bool:
     """Does the text before a number name a thing (a lot, an order), also with one letter misread or a blank inside?"""
+    if re.search(r"[-–—,;|]\s*$", before) and not before.endswith("-"):
+        return False
     words = re.findall(r"\w+", _letters(before[-24:]))
     if not words:
         return False
@@ -98,13 +103,7 @@ def structured(text: str) -> tuple[list[tuple[int, int, str]], str]:
     low = text.lower()
     if "@" in text or "%40" in text or "at)" in low or "at]" in low or " dot " in low:
         for m in EMAIL.finditer(text):
-            top, local = m["top"].lower(), m["local"].lower()
-            written = text[m.start() : m.end("domain")]
-            if top in FILE_ENDINGS.split("|") or m["after"] or local in ("git", "npm", "ssh") or "://" in text[max(0, m.start() - 3) : m.start()]:
-                continue
-            if re.search(r"\s", written) and top not in TOP_LEVEL.split("|"):
-                continue
-            if top not in TOP_LEVEL.split("|") and not re.fullmatch(r"[a-z]{2,6}", top):
+            if (m["other"] or "").lower() in FILE_ENDINGS.split("|") or m["after"] or m["local"].lower() in ("git", "npm", "ssh") or "://" in text[max(0, m.start() - 3) : m.start()]:
                 continue
             spans.append((m.start(), m.end("domain"), "email"))
         for b, e, _ in spans:
@@ -119,9 +118,7 @@ def structured(text: str) -> tuple[list[tuple[int, int, str]], str]:
             if n == 0:
                 if _digits(m["n"]) < 5:
                     continue
-                b = m.start()
-                b = m.start("n")
-            elif names_a_thing(before) or "\x00" in m["n"]:
+            elif names_a_thing(before) or re.match(r"\s+rev\b", rest[e : e + 8]):
                 continue
             spans.append((b, e, "id_number"))
         for b, e, _ in spans[-50:]:
@@ -133,7 +130,7 @@ def structured(text: str) -> tuple[list[tuple[int, int, str]], str]:
             if not (9 if n else 10) <= count + sum(c in "Il" for c in m["n"]) <= 18 or DATE.match(m["n"]):
                 continue
             before = rest[max(0, b - 30) : b]
-            if not PHONE_CUE.search(before) and (names_a_thing(before) or re.match(r"(?:\s+\w+)?\s+\d*\s*pcs\b", rest[e : e + 24])):
+            if n != 1 and not PHONE_CUE.search(before) and (names_a_thing(before) or re.match(r"(?:\s+\w+)?\s+\d*\s*pcs\b", rest[e : e + 24])):
                 continue
             spans.append((b, e, "phone"))
         for b, e, _ in spans[-50:]:
