@@ -37,7 +37,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    return similar_vectors(table(spark, folder, "memories"))
+    return similar_vectors(table(spark, folder, "memories")).withColumn("cosine", F.round("cosine", 6))
 
 
 def _private_texts(spark: SparkSession, folder: str) -> dict[str, tuple[DataFrame, str, str]]:
@@ -69,4 +69,18 @@ def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_prompts": p7_prompts, "p8_found": p8_found, "p8_sources": p8_sources}
-ORACLES: dict[str, str] = {}
+_NEAREST = """WITH once AS (SELECT id, arg_max(embedding, updated_at) AS embedding FROM memories WHERE id IS NOT NULL GROUP BY id),
+v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM once WHERE len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+pairs AS (SELECT a.id, b.id AS neighbour_id, round(list_dot_product(a.e, b.e) / (a.norm * b.norm), 12) AS cosine FROM u a JOIN u b ON a.id <> b.id),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, neighbour_id) AS rank FROM pairs) WHERE rank <= 5)
+"""
+ORACLES: dict[str, str] = {
+    "p1_found": r"""WITH once AS (SELECT id, max(ocr_text) AS t FROM activity WHERE id IS NOT NULL AND ocr_text IS NOT NULL GROUP BY id),
+w AS (SELECT id, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS w FROM once), n AS (SELECT id, count(*) AS n FROM w GROUP BY id HAVING count(*) >= 20),
+c AS (SELECT id, w, count(*) AS k FROM w WHERE id IN (SELECT id FROM n) GROUP BY id, w),
+o AS (SELECT x.id AS id_a, y.id AS id_b, sum(least(x.k, y.k)) AS o FROM c x JOIN c y ON x.w = y.w AND x.id < y.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM o JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE o >= 0.6 * (a.n + b.n - o) - 1e-9""",
+    "p4_found": _NEAREST + "SELECT DISTINCT least(id, neighbour_id) AS id_a, greatest(id, neighbour_id) AS id_b FROM near",
+    "p4_neighbours": _NEAREST + "SELECT id, neighbour_id, rank, round(cosine, 6) AS cosine FROM near",
+}
