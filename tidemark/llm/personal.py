@@ -211,11 +211,10 @@ def scan_texts(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
 
 
 def disclosure(scanned: DataFrame, known: DataFrame, rounds: int = 2) -> DataFrame:
-    """(term, p, bits, known): how strongly a term reveals that a person is named, from the whole corpus.
+    """(term, n, a, known): how strongly a term reveals that a person is named, from the whole corpus.
 
-    p is the share of a term's occurrences that stand beside a name, an initial, an honorific or a
-    name key; bits is the pointwise information log2(p / share of all words). The first round counts
-    beside the known names, the next also beside terms learned before.
+    Of a term's n occurrences, a stand beside a name, an initial, an honorific or a name key. The
+    first round counts beside the known names, the next also beside terms learned before.
     """
     counts = scanned.where("word is not null").groupBy(F.col("word").alias("term")).agg(F.sum("n").alias("n"))
     both = scanned.where("pairs is not null").select(F.explode("pairs").alias("p")).select("p.l", "p.r").groupBy("l", "r").agg(F.count("*").alias("n"))
@@ -230,10 +229,14 @@ def disclosure(scanned: DataFrame, known: DataFrame, rounds: int = 2) -> DataFra
         scored = total.join(near, "term", "left").join(listed, "term", "left").where("a is not null or known")
         scored = scored.select("term", "n", F.least("n", F.coalesce("a", F.lit(0))).alias("a"), F.coalesce("known", F.lit(False)).alias("known"))
         seeds = scored.where(STRONG).select(F.col("term").alias("other"))
-    base = total.agg(F.sum("n").alias("all")).crossJoin(scored.agg(F.sum("a").alias("named")))
-    share = base.first()
-    prior = max(share["named"] or 0, 1) / max(share["all"] or 0, 1)
-    return scored.withColumn("p", F.col("a") / F.col("n")).withColumn("bits", F.log2(F.greatest("p", F.lit(1e-9)) / prior))
+    return scored
+
+
+def disclosure_bits(scored: DataFrame) -> DataFrame:
+    """(term, n, a, bits, strong): the pointwise information of a term about a person being named, log2 of its share beside names over that of all scored terms."""
+    share = scored.agg(F.sum("a").alias("a"), F.sum("n").alias("n")).first()
+    prior = max(share["a"] or 0, 1) / max(share["n"] or 0, 1)
+    return scored.select("term", "n", "a", F.log2(F.greatest(F.col("a") / F.col("n"), F.lit(1e-9)) / prior).alias("bits"), F.expr(STRONG).alias("strong"))
 
 
 #: Disclosure thresholds: a term reveals a person by itself from here on; a listed name needs less.
@@ -284,6 +287,11 @@ def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["tbl", "rec_id", "text"])
 
 
+def revealing_terms(tables: dict[str, tuple[DataFrame, str, str]], known: DataFrame) -> DataFrame:
+    """(term, n, a, bits, strong): every scored term with its disclosure in bits and whether it is above the threshold."""
+    return disclosure_bits(durable(disclosure(durable(scan_texts(tables).mapInArrow(_scan, _RECORD)), known)))
+
+
 def redacted_texts(tables: dict[str, tuple[DataFrame, str, str]], known: DataFrame) -> DataFrame:
     """(tbl, rec_id, text): every record's text with typed placeholders such as [EMAIL] and [PERSON] in place of what was found; names that stand together become one placeholder."""
     texts, spans = _detected(tables, known)

@@ -9,7 +9,7 @@ from tidemark.llm.encode import encode_corpus
 from tidemark.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from tidemark.llm.neighbours import similar_vectors
 from tidemark.llm.packing import pack_documents
-from tidemark.llm.personal import personal_kinds, redacted_texts
+from tidemark.llm.personal import personal_kinds, redacted_texts, revealing_terms
 from tidemark.llm.runs import window_runs
 from tidemark.llm.truncation import truncated, truncation_by_source
 from tidemark.plans.durable import table
@@ -52,6 +52,10 @@ def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return redacted_texts(_private_texts(spark, folder), table(spark, folder, "known_names"))
 
 
+def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return revealing_terms(_private_texts(spark, folder), table(spark, folder, "known_names"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents")).select("doc_id", "ids")
 
@@ -68,7 +72,7 @@ def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
     return truncation_by_source(table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_prompts": p7_prompts, "p8_found": p8_found, "p8_sources": p8_sources}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_runs": p2_runs, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_terms": p5_terms, "p6_ids": p6_ids, "p7_prompts": p7_prompts, "p8_found": p8_found, "p8_sources": p8_sources}
 _NEAREST = """WITH once AS (SELECT id, arg_max(embedding, updated_at) AS embedding FROM memories WHERE id IS NOT NULL GROUP BY id),
 v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM once WHERE len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 u AS (SELECT id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
