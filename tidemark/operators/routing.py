@@ -51,7 +51,7 @@ def routed(texts: DataFrame, projects: DataFrame, key: str, top: int = 3) -> Dat
     hits = words.join(F.broadcast(listed), "word").select(key, "name", F.lit(1).alias("words"), F.lit(0).alias("bonus"))
     # the names and aliases as one array: each text is scanned once, no pair of text and project is built
     named = registry.select(F.struct(F.col("name"), F.lower("name").alias("low_name"), F.transform("aliases", F.lower).alias("low_aliases")).alias("p")).agg(F.collect_list("p").alias("projects"))
-    found = rows.crossJoin(F.broadcast(named)).select(key, F.explode(F.filter("projects", lambda p: F.contains(F.col("low"), p["low_name"]) | F.exists(p["low_aliases"], lambda a: F.contains(F.col("low"), a)))).alias("p"), "low")
+    found = rows.withColumn("one", F.lit(1)).join(F.broadcast(named.withColumn("one", F.lit(1))), "one").select(key, F.explode(F.filter("projects", lambda p: F.contains(F.col("low"), p["low_name"]) | F.exists(p["low_aliases"], lambda a: F.contains(F.col("low"), a)))).alias("p"), "low")
     has_name, has_alias = F.contains("low", F.col("p.low_name")).cast("int"), F.exists("p.low_aliases", lambda a: F.contains(F.col("low"), a)).cast("int")
     bonus = found.select(key, F.col("p.name").alias("name"), (has_name + has_alias).alias("words"), (has_name * NAME_BONUS + has_alias * ALIAS_BONUS).alias("bonus"))
     scored = hits.unionByName(bonus).groupBy(key, "name").agg(F.sum("words").alias("matched"), F.sum("bonus").alias("bonus")).join(F.broadcast(registry.select("name", "n_keywords")), "name")

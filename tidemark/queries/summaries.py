@@ -86,7 +86,8 @@ def d7_weekly_trend(spark: SparkSession, folder: str) -> DataFrame:
     said, fixed = F.count_if(F.col("event_type") == "transcription"), F.count_if(F.col("event_type") == "correction_detected")
     history = stored(spark, folder).groupBy(day.alias("date")).agg(F.try_divide(fixed, said).alias("correction_rate"), said.alias("vocab_user_size"), F.array(F.struct(F.lit("word").alias("word"), fixed.alias("count"))).alias("top_corrected_words"))
     report = summaries.weekly_report(history)
-    return report["trend"].crossJoin(F.broadcast(report["growth"].select("user"))).select("date", "correction_rate", F.col("user").alias("growth"))
+    growth = report["growth"].select("user").first()
+    return report["trend"].select("date", "correction_rate", F.lit(growth["user"] if growth else None).cast("bigint").alias("growth"))
 
 
 def d8_timeline_counts(spark: SparkSession, folder: str) -> DataFrame:
