@@ -244,6 +244,8 @@ def test_full_text_queries(spark):
     assert sorted(hits("fox NOT quick")) == [3]
     assert hits("eclair") == [5]
     assert sorted(hits("foxes", stemming=True)) == [1, 2, 3]
+    assert sorted(hits("NEAR(quick fox, 1)")) == [1, 2] and hits("NEAR(fox quick, 0)") == [2]
+    assert hits("NEAR(the fox)") == [1] and hits("NEAR(the fox, 1)") == []
     assert hits("quick AND") == [] and hits("") == []
     assert hits('"lazy') == []
     assert search.full_text(docs.limit(0), ["body"], "fox").count() == 0

@@ -40,11 +40,12 @@ def words_of(text: Column, stemming: bool = False) -> Column:
 
 @dataclass
 class Term:
-    """A word, a prefix or a phrase, in all columns or one."""
+    """A word, a prefix or a phrase, in all columns or one; with ``near`` words that stand together with at most so many others between them."""
 
     words: list[str]
     prefix: bool = False
     column: str | None = None
+    near: int | None = None
 
 
 @dataclass
@@ -55,11 +56,12 @@ class Query:
     parts: list = field(default_factory=list)
 
 
-_TOKEN = re.compile(r'\s*(?:(\()|(\))|(\w+)\s*:\s*|"([^"]*)"(\*?)|([^\s()":*]+)(\*?))')
+_TOKEN = re.compile(r'\s*(?:(\()|(\))|(\w+)\s*:\s*|"([^"]*)"(\*?)|(?!NEAR\s*\()([^\s()":*]+)(\*?)|NEAR\s*\(([^(),]+?)\s*(?:,\s*(\d+))?\s*\))')
+NEAR_WORDS = 10
 
 
 def parse(text: str, columns: list[str], stemming: bool = False) -> Query | None:
-    """Words (all wanted), "phrases", prefix*, AND, OR, NOT, column:term and brackets; None when the text is no query."""
+    """Words (all wanted), "phrases", prefix*, AND, OR, NOT, NEAR(words, n), column:term and brackets; None when the text is no query."""
     tokens, at = [], 0
     text = text.strip()
     while at < len(text):
@@ -112,6 +114,9 @@ def parse(text: str, columns: list[str], stemming: bool = False) -> Query | None
             return None
         if m[3]:
             return single(m[3]) if m[3] in columns and column is None else None
+        if m[8]:
+            words = split(m[8])
+            return Term(words, column=column, near=int(m[9] or NEAR_WORDS)) if len(words) > 1 else None
         words = split(m[4] if m[4] is not None else m[6])
         if not words or (m[6] in ("AND", "OR", "NOT") and not m[7]):
             return None
@@ -132,6 +137,10 @@ def _hits(term: Term, column: str) -> Column:
     words = F.col(f"__{column}")
     last = term.words[-1]
     ends = lambda w: F.startswith(w, F.lit(last)) if term.prefix else w == F.lit(last)
+    if term.near is not None:
+        wanted = F.array(*(F.lit(w) for w in sorted(set(term.words))))
+        inside = lambda i: F.size(F.array_intersect(wanted, F.slice(words, i + 1, F.lit(term.near + 2)))) == F.size(wanted)
+        return F.size(F.filter(words, lambda w, i: w.isin(term.words) & inside(i)))
     if len(term.words) == 1:
         return F.size(F.filter(words, ends))
     fits = lambda w, i: reduce(lambda a, b: a & b, [F.coalesce(F.get(words, i + n) == F.lit(x), F.lit(False)) for n, x in enumerate(term.words[:-1])]) & F.coalesce(ends(F.get(words, i + len(term.words) - 1)), F.lit(False))
