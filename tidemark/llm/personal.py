@@ -206,8 +206,10 @@ def scan_texts(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-    once = union.groupBy("tbl", "rec_id").agg(F.max("text").alias("text"))
-    return once.select("tbl", "rec_id", "text")
+    # a fixed number of parts: the scan behind it is bound by CPU, so small parts must not be put together by their bytes
+    session = union.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    return union.repartition(parts, "tbl", "rec_id").groupBy("tbl", "rec_id").agg(F.max("text").alias("text")).select("tbl", "rec_id", "text")
 
 
 def disclosure(scanned: DataFrame, known: DataFrame, rounds: int = 2) -> DataFrame:
