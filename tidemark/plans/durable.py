@@ -30,3 +30,12 @@ def durable(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a data folder; no schema inference beyond the Parquet footer."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as there are cores, if it is read in fewer: for scans bound by Python's CPU over few or small files.
+
+    A table read in enough parts stays where it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
