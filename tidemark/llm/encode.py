@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.durable import spread
+
 #: Where the public vocabularies lie; a parameter of every function here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pre-tokenisation pattern of the vocabulary.
@@ -110,7 +112,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     ``row_chars`` stay where they were read, without a shuffle; longer ones are cut at forced
     boundaries, encoded by several tasks, and put together by key.
     """
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")))
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
