@@ -145,3 +145,16 @@ def test_early_end_of_a_near_copy(spark):
     data = [(1, text, "a"), (2, text[: text.index("word56") + 4], "b"), (3, text[: text.index("word56") + 4], "c")]
     got = {r["doc_id"]: r["early"] for r in truncation.endings(docs(spark, data)).collect()}
     assert got == {1: False, 2: True, 3: True}
+
+
+def test_early_end_beside_a_longer_text_of_the_bucket(spark):
+    words = [f"word{n}" for n in range(60)]
+    text = " ".join(words[:30]) + ". " + " ".join(words[30:]) + "."
+    cut = text[: text.index("word56") + 4]
+    other = cut.replace("word55 word", "word55. Other tail here") + " more words follow after."
+    data = [(1, text, "a"), (2, cut, "b"), (3, other, "c"), (4, text.replace("word56", "closed. And"), "d")]
+    for block in (256, 1):
+        truncation.BLOCK_TEXTS = block
+        got = {r["doc_id"]: r["early"] for r in truncation.endings(docs(spark, data)).collect()}
+        assert got == {1: False, 2: True, 3: False, 4: False}
+    truncation.BLOCK_TEXTS = 256

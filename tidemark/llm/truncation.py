@@ -19,6 +19,9 @@ from tidemark.plans.durable import durable, spread
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
+#: A block of a bucket has about so many texts and characters; its texts are compared with those of one block at a time.
+BLOCK_TEXTS = 256
+BLOCK_CHARS = 4_000_000
 #: Contexts of a word whose chance to close a text is estimated, from one word to the build of eight.
 CONTEXTS = 5
 #: A line of so many words without a sentence's end tells nothing about ends: its writer sets no points.
@@ -184,10 +187,14 @@ def ending(text: str) -> dict:
 _SALT = np.random.default_rng(7).integers(1, 1 << 61, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
+def runs(words: list[str]) -> np.ndarray:
+    """Marks of the runs of five words, in order."""
+    return np.array([xxhash.xxh3_64_intdigest(" ".join(words[i : i + SHINGLE_WORDS])) for i in range(len(words) - SHINGLE_WORDS + 1)], np.uint64)
+
+
 def shingles(text: str) -> np.ndarray:
     """Marks of the runs of five words of a text."""
-    words = re.findall(r"\w+", text.lower())
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(" ".join(words[i : i + SHINGLE_WORDS])) for i in range(len(words) - SHINGLE_WORDS + 1)], np.uint64))
+    return np.unique(runs(re.findall(r"\w+", text.lower())))
 
 
 def bands(marks: np.ndarray) -> np.ndarray:
@@ -265,44 +272,75 @@ def feed_limits(features: DataFrame) -> DataFrame:
     return piled.select("source", "unit", "size")
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verified near-copies whose alignment with the longer text ends early, in mid sentence: (doc_id)."""
-    for batch in batches:
-        out = []
-        for doc, short, long in zip(*(batch.column(n).to_pylist() for n in range(3))):
-            short, long = visible(short), visible(long)
-            a, b = shingles(short), shingles(long)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if both < SIMILARITY * (len(a) + len(b) - both):
-                continue
-            body = DOTS.sub("", CUT_MARK.sub("", short))
-            words, others = re.findall(r"\w+", body.lower()), re.findall(r"\w+", long.lower())
-            tail = words[-SHINGLE_WORDS - 1 : -1]
-            places = [i for i in range(len(others) - len(tail) + 1) if others[i : i + len(tail)] == tail] if tail else []
-            if not places:
-                continue
-            at = min(places, key=lambda i: abs(i + len(tail) + 1 - len(words))) + len(tail)  # of the last word
-            if at >= len(others) or not others[at].startswith(words[-1]):
-                continue
-            place = [m.span() for m in re.finditer(r"\w+", long)][at]
-            after = long[place[0] + len(words[-1]) :]
-            if after.strip() and not re.match(r"[.!?…\"'”’»)\]}`]|\s*\n", after):
-                out.append(doc)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["doc_id"])
+class _Copy:
+    """A text made ready to be aligned with others."""
+
+    def __init__(self, raw: str):
+        text = visible(raw)
+        self.text = text.lower()
+        self.spans = [m.span() for m in re.finditer(r"\w+", self.text)]
+        self.words = [self.text[b:e] for b, e in self.spans]
+        self.runs = runs(self.words)
+        self.marks = np.unique(self.runs)
+        body = re.findall(r"\w+", DOTS.sub("", CUT_MARK.sub("", text)).lower())
+        self.length, self.last, self.tail = len(body), body[-1] if body else "", body[-SHINGLE_WORDS - 1 : -1]
+        self.tail_run = runs(self.tail)
+
+    def places(self, other: _Copy) -> list[int]:
+        """Where the other text's words before its last one stand in this text."""
+        if len(other.tail_run):
+            return np.flatnonzero(self.runs == other.tail_run[0]).tolist()
+        n = len(other.tail)
+        return [i for i in range(len(self.words) - n + 1) if self.words[i : i + n] == other.tail] if n else []
+
+
+def stops_early(short: _Copy, long: _Copy) -> bool:
+    """Are two texts near-copies, and does the alignment of the first with the second end early, in mid sentence?"""
+    places = long.places(short)
+    if not places:
+        return False
+    at = min(places, key=lambda i: abs(i + len(short.tail) + 1 - short.length)) + len(short.tail)  # of the last word
+    if at >= len(long.words) or not long.words[at].startswith(short.last):
+        return False
+    after = long.text[long.spans[at][0] + len(short.last) :]
+    if not after.strip() or re.match(r"[.!?…\"'”’»)\]}`]|\s*\n", after):
+        return False
+    both = len(np.intersect1d(short.marks, long.marks, assume_unique=True))
+    return both >= SIMILARITY * (len(short.marks) + len(long.marks) - both)
+
+
+def _early(tile: pa.Table) -> pa.Table:
+    """Texts of two blocks of a bucket (or of one) that a longer near-copy in it shows to stop early: (doc_id)."""
+    band, across = tile["band"][0].as_py(), tile["i"][0] != tile["j"][0]
+    ids, chars, block = (tile[name].to_numpy() for name in ("doc_id", "chars", "block"))
+    values = np.array(tile["bands"].to_pylist(), np.int64)[:, :band]
+    copies = [_Copy(text) for text in tile["text"].to_pylist()]
+    sizes = np.array([len(c.marks) for c in copies])
+    out = []
+    for n, short in enumerate(copies):
+        fit = (chars > chars[n]) & (sizes >= SIMILARITY * sizes[n]) & (sizes[n] >= SIMILARITY * sizes)
+        fit &= ~(values == values[n]).any(1)  # two texts meet in the first band they share
+        if across:
+            fit &= block != block[n]
+        if any(stops_early(short, copies[m]) for m in np.flatnonzero(fit)):
+            out.append(ids[n])
+    return pa.table({"doc_id": pa.array(out, pa.int64())})
 
 
 def early_ends(features: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc_id): texts that a longer near-copy shows to stop early.
 
-    Equal texts are banded once. In each bucket every text meets the longest one only, so a bucket
-    of any size gives as many pairs as it has texts.
+    Equal texts are banded once. In each bucket every text meets all longer ones whose number of
+    shingles allows the similarity; large buckets are split into blocks, and every two blocks meet in a group of their own.
     """
-    once = features.where("size(bands) > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("chars").alias("chars"), F.min_by("bands", "doc_id").alias("bands"))
-    banded = durable(once.select("doc_id", "chars", F.posexplode("bands").alias("band", "value")))
-    longest = banded.groupBy("band", "value").agg(F.max(F.struct("chars", "doc_id")).alias("long"), F.count("*").alias("n")).where("n > 1")
-    pairs = banded.join(longest, ["band", "value"]).where("chars < long.chars").select("doc_id", F.col("long.doc_id").alias("other")).distinct()
-    both = pairs.join(texts, "doc_id").withColumnRenamed("text", "short").join(texts.withColumnRenamed("doc_id", "other"), "other")
-    flagged = both.select("doc_id", "short", "text").mapInArrow(_aligned, "doc_id bigint").distinct()
+    once = durable(features.where("size(bands) > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("chars").alias("chars"), F.min_by("bands", "doc_id").alias("bands")))
+    banded = once.select("doc_id", "chars", F.posexplode("bands").alias("band", "value"))
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("chars") / BLOCK_CHARS)).cast("int")
+    buckets = banded.groupBy("band", "value").agg(parts.alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = banded.join(buckets, ["band", "value"]).withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), parts) as int)"))
+    tiles = members.join(once.select("doc_id", "bands"), "doc_id").join(texts, "doc_id").withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    tiles = tiles.select("band", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "chars", "bands", "text")
+    flagged = tiles.groupBy("band", "value", "i", "j").applyInArrow(_early, "doc_id bigint").distinct()
     copies = features.select("doc_id", "h1", "h2")
     return copies.join(copies.join(flagged, "doc_id", "left_semi").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("doc_id")
 
