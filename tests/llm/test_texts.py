@@ -158,3 +158,11 @@ def test_early_end_beside_a_longer_text_of_the_bucket(spark):
         got = {r["doc_id"]: r["early"] for r in truncation.endings(docs(spark, data)).collect()}
         assert got == {1: False, 2: True, 3: False, 4: False}
     truncation.BLOCK_TEXTS = 256
+
+
+def test_every_span_is_blanked_out_for_later_patterns():
+    for line, kind in (("passport 123 456 7890\n", "id_number"), ("49 Bramblecroft Road\n", "address")):
+        spans, rest = personal.structured(line * 60)
+        assert [k for *_, k in spans] == [kind] * 60
+        assert all(set(rest[b:e]) == {"\x00"} for b, e, _ in spans)
+        assert not any(term[2].lower().startswith("bramble") for term in personal.name_terms(rest))

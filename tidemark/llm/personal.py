@@ -96,6 +96,15 @@ def _blank(text: str, begin: int, end: int) -> str:
     return text[:begin] + "\x00" * (end - begin) + text[end:]
 
 
+def _blank_all(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with the spans of one pattern, which come in order, blanked out."""
+    parts, at = [], 0
+    for begin, end, _ in spans:
+        parts += [text[at:begin], "\x00" * (end - begin)]
+        at = end
+    return "".join(parts) + text[at:]
+
+
 def structured(text: str) -> tuple[list[tuple[int, int, str]], str]:
     """Spans of all kinds but persons, and the text with them, links, handles and paths blanked out (same length)."""
     spans: list[tuple[int, int, str]] = []
@@ -106,12 +115,12 @@ def structured(text: str) -> tuple[list[tuple[int, int, str]], str]:
             if (m["other"] or "").lower() in FILE_ENDINGS.split("|") or m["after"] or m["local"].lower() in ("git", "npm", "ssh") or "://" in text[max(0, m.start() - 3) : m.start()]:
                 continue
             spans.append((m.start(), m.end("domain"), "email"))
-        for b, e, _ in spans:
-            rest = _blank(rest, b, e)
+        rest = _blank_all(rest, spans)
     for m in LINK.finditer(rest):
         if m.end() - m.start() > 2:
             rest = _blank(rest, m.start(), m.end())
     for n, pattern in enumerate(IDS):
+        start = len(spans)
         for m in pattern.finditer(rest):
             b, e = m.span("n")
             before = rest[:b]
@@ -121,9 +130,9 @@ def structured(text: str) -> tuple[list[tuple[int, int, str]], str]:
             elif names_a_thing(before) or re.match(r"\s+rev\b", rest[e : e + 8]):
                 continue
             spans.append((b, e, "id_number"))
-        for b, e, _ in spans[-50:]:
-            rest = _blank(rest, b, e)
+        rest = _blank_all(rest, spans[start:])
     for n, pattern in enumerate(PHONES):
+        start = len(spans)
         for m in pattern.finditer(rest):
             b, e = m.span("n")
             count = _digits(m["n"])
@@ -133,9 +142,9 @@ def structured(text: str) -> tuple[list[tuple[int, int, str]], str]:
             if n != 1 and not PHONE_CUE.search(before) and (names_a_thing(before) or re.match(r"(?:\s+\w+)?\s+\d*\s*pcs\b", rest[e : e + 24])):
                 continue
             spans.append((b, e, "phone"))
-        for b, e, _ in spans[-50:]:
-            rest = _blank(rest, b, e)
+        rest = _blank_all(rest, spans[start:])
     for n, pattern in enumerate(ADDRESSES):
+        start = len(spans)
         for m in pattern.finditer(rest):
             b, e = m.span("n")
             if n == 0 and re.search(r"(?i)\bof\s*$", rest[:b]):
@@ -143,9 +152,7 @@ def structured(text: str) -> tuple[list[tuple[int, int, str]], str]:
             if n == 0 and m["street"].islower() and not m["name"].istitle():
                 continue
             spans.append((b, e, "address"))
-        for b, e, k in spans[-50:]:
-            if k == "address":
-                rest = _blank(rest, b, e)
+        rest = _blank_all(rest, spans[start:])
     return spans, rest
 
 
