@@ -166,3 +166,8 @@ def test_every_span_is_blanked_out_for_later_patterns():
         assert [k for *_, k in spans] == [kind] * 60
         assert all(set(rest[b:e]) == {"\x00"} for b, e, _ in spans)
         assert not any(term[2].lower().startswith("bramble") for term in personal.name_terms(rest))
+
+
+def test_spelt_out_addresses_with_blanks():
+    for text in ("write to jane [ at ] fernpost.example today", "write to jane ( at ) fernpost.example today", "write to jane at fernpost\tdot\texample today", "write to jane at fernpost\u00a0dot\u00a0example today"):
+        assert [k for *_, k in personal.structured(text)[0]] == ["email"]

@@ -38,6 +38,8 @@ _DOT = r"(?:\s?\.\s?|\s?[\[(]\s?(?:dot|\.)\s?[\])]\s?|\s+dot\s+)"
 EMAIL = re.compile(
     rf"(?i)(?<![\w@/])(?P<local>{_LOCAL}){_AT}(?P<domain>[\w\-]+(?:{_DOT}[\w\-]+)*?{_DOT}(?P<top>{TOP_LEVEL})(?![\w\-])(?!\.\w)(?!\s?dot\s)|(?:[\w\-]+\.)+(?P<other>[a-z]{{2,6}})(?![\w\-@])(?!\.\w))(?P<after>:[\w/~.])?"
 )
+#: Every form of _AT holds one of these.
+MAY_HOLD_EMAIL = re.compile(r"(?i)@|%40|[\[(]\s?at\s?[\])]|\sdot\s")
 LINK = re.compile(r"(?i)\b[a-z][a-z0-9+.\-]*://\S+|\bwww\.\S+|(?<!\w)@\w+|\b[\w.\-]+@[\w.\-]+(?::\S+)?|\b[a-z]:\\\S+|(?<!\w)~?/\S*|\b(?=[\w/\\]*[^\W\d])\w+(?:[_/\\]\w+)+(?:\.\w+)?")
 
 IDS = [
@@ -109,8 +111,7 @@ def structured(text: str) -> tuple[list[tuple[int, int, str]], str]:
     """Spans of all kinds but persons, and the text with them, links, handles and paths blanked out (same length)."""
     spans: list[tuple[int, int, str]] = []
     rest = text
-    low = text.lower()
-    if "@" in text or "%40" in text or "at)" in low or "at]" in low or " dot " in low:
+    if MAY_HOLD_EMAIL.search(text):
         for m in EMAIL.finditer(text):
             if (m["other"] or "").lower() in FILE_ENDINGS.split("|") or m["after"] or m["local"].lower() in ("git", "npm", "ssh") or "://" in text[max(0, m.start() - 3) : m.start()]:
                 continue
