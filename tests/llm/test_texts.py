@@ -171,3 +171,10 @@ def test_every_span_is_blanked_out_for_later_patterns():
 def test_spelt_out_addresses_with_blanks():
     for text in ("write to jane [ at ] fernpost.example today", "write to jane ( at ) fernpost.example today", "write to jane at fernpost\tdot\texample today", "write to jane at fernpost\u00a0dot\u00a0example today"):
         assert [k for *_, k in personal.structured(text)[0]] == ["email"]
+
+
+def test_words_of_unpointed_lines_are_whole_words(spark):
+    said = " ".join(["so we went on and on about the marquee thing"] * 4)
+    data = [(1, said, "voice"), (2, "Please bring the marquee", "mail"), (3, "Please bring the marq", "mail")]
+    got = {r["doc_id"]: r["mid_word"] for r in truncation.endings(docs(spark, data)).collect()}
+    assert (got[2], got[3]) == (False, True)

@@ -227,15 +227,18 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _closings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(c, n, ended): of each context inside a text how often it stands there and how often a sentence or line ends after it."""
+    """(c, n, ended, inside): of each context inside a text how often it stands there and how often a sentence or line ends after it.
+
+    Lines whose writer sets no points tell nothing about ends; their words count as ``inside`` alone.
+    """
     seen: list[dict[str, list[int]]] = [{} for _ in range(CONTEXTS)]
 
     def full() -> pa.RecordBatch:
         keys = [xxhash.xxh3_64_intdigest(x, seed=n) - (1 << 63) for n, level in enumerate(seen) for x in level]
-        counts = np.array([c for level in seen for c in level.values()], np.int64).reshape(-1, 2)
+        counts = np.array([c for level in seen for c in level.values()], np.int64).reshape(-1, 3)
         for level in seen:
             level.clear()
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts[:, 0]), pa.array(counts[:, 1])], ["c", "n", "ended"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(counts[:, k]) for k in range(3))], ["c", "n", "ended", "inside"])
 
     for batch in batches:
         for raw in batch.column(0).to_pylist():
@@ -243,6 +246,8 @@ def _closings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = [line for line in lines if line]
             for nth, line in enumerate(lines):
                 if len(line) >= UNPOINTED and not any(SENTENCE_END.search(word) for word in line[:-1]):
+                    for word in line[:-1] if nth == len(lines) - 1 else line:
+                        seen[0].setdefault(shape(word), [0, 0, 0])[2] += 1
                     continue
                 for at, found in enumerate(contexts(line), 1):
                     if at == len(line) and nth == len(lines) - 1:
@@ -253,11 +258,12 @@ def _closings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             continue
                         count = level.get(x)
                         if count is None:
-                            level[x] = [1, int(ended)]
+                            level[x] = [1, int(ended), 1]
                         else:
                             count[0] += 1
                             count[1] += ended
-            if len(seen[-1]) > 300_000:
+                            count[2] += 1
+            if max(len(seen[0]), len(seen[-1])) > 300_000:
                 yield full()
     yield full()
 
@@ -353,12 +359,12 @@ def endings(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     cut. The others are judged by their end: a mark of the writer, an open structure, else by
     how often the last words close a sentence or line in any other text: the last word, the last
     two, the build of the last five and eight, and a short last sentence, each corrected by the next. A last word that stands inside no text is
-    half a word. A text as long as a feed's limit is cut unless its last sentence or structure is closed. Texts that are null, empty or blank are left out.
+    half a word; lines of 30 or more words without a sentence's end count for that alone. A text as long as a feed's limit is cut unless its last sentence or structure is closed. Texts that are null, empty or blank are left out.
     """
     rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & present(F.col("text")).isNotNull())
     rows = spread(rows)
     features = durable(rows.mapInArrow(_features, _FEATURES))
-    counts = rows.select("text").mapInArrow(_closings, "c bigint, n bigint, ended bigint").groupBy("c").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"))
+    counts = rows.select("text").mapInArrow(_closings, "c bigint, n bigint, ended bigint, inside bigint").groupBy("c").agg(*(F.sum(k).alias(k) for k in ("n", "ended", "inside")))
     limits = feed_limits(features).groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("size"))).alias("char_limits"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("size"))).alias("byte_limits"))
     near = lambda size, limits: F.exists(limits, lambda x: (size <= x) & (size >= x - 2))
     at_limit = F.coalesce(near(F.col("chars"), F.col("char_limits")) | near(F.col("bytes"), F.col("byte_limits")), F.lit(False))
@@ -369,7 +375,7 @@ def endings(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     known = wanted.join(counts, "c", "left").join(ends, "c", "left").na.fill(0)
     others = F.greatest(F.col("ends") - F.when(F.col("at_limit"), 0).otherwise(1), F.lit(0))
     placed = features.select("doc_id", "at_limit", F.posexplode("c").alias("level", "c")).join(known, "c").withColumn("others", others)
-    seen = F.struct((F.col("n") + F.col("others")).alias("n"), (F.col("ended") + F.col("others")).alias("ended"), F.col("n").alias("inside"), "others")
+    seen = F.struct((F.col("n") + F.col("others")).alias("n"), (F.col("ended") + F.col("others")).alias("ended"), "inside", "others")
     levels = placed.groupBy("doc_id").agg(*(F.max(F.when(F.col("level") == n, seen)).alias(f"c{n}") for n in range(CONTEXTS)))
     early = early_ends(features, rows.select("doc_id", "text"))
     judged = features.drop("bands", "h1", "h2", "c").join(levels, "doc_id", "left").join(early.withColumn("early", F.lit(True)), "doc_id", "left")
