@@ -278,3 +278,12 @@ def test_routing(spark):
     where = spark.createDataFrame([("/p/TaskRunner/src", None), ("/q/x", "my weather map"), ("/q", "none of it"), (None, None)], "cwd string, title string")
     found = [r[0] for r in where.select(routing.active_project(where.cwd, where.title, "/p", [("TaskRunner", []), ("Weather", [])])).collect()]
     assert [(x["project"], x["source"]) for x in found] == [("TaskRunner", "cwd"), ("Weather", "title"), (None, None), (None, None)]
+
+
+def test_text_queries_take_every_feed(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(1, "voice_raw", "the budget"), (2, "voice_clean", "the budget"), (3, "mail", "the budget"), (4, None, "the budget")], "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    cleaned = {r["doc_id"]: r["clean"] for r in entry.queries()["i20_cleaned"](spark, str(tmp_path)).collect()}
+    assert set(cleaned) == {1, 2, 3, 4} and len(set(cleaned.values())) == 1
+    assert {r["doc_id"]: r["text"] for r in entry.queries()["i27_vocabulary"](spark, str(tmp_path)).collect()} == dict.fromkeys((1, 2, 3, 4), "THE Budget$")

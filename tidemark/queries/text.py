@@ -49,7 +49,7 @@ def i11_keywords(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def i20_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    return _documents(spark, folder).where("source in ('voice_raw', 'call_captions')").select("doc_id", T.cleaned(F.col("text")).alias("clean"))
+    return _documents(spark, folder).select("doc_id", T.cleaned(F.col("text")).alias("clean"))
 
 
 def i25_chatty(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,7 +62,7 @@ def i26_punctuated(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def i27_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    return _documents(spark, folder).where("source = 'voice_clean'").select("doc_id", T.with_vocabulary(F.col("text"), {"dim": "Dimmer", "dim layout": "DimLayout", "budget": "Budget$", "the": "THE"}).alias("text"))
+    return _documents(spark, folder).select("doc_id", T.with_vocabulary(F.col("text"), {"dim": "Dimmer", "dim layout": "DimLayout", "budget": "Budget$", "the": "THE"}).alias("text"))
 
 
 def i30_redacted(spark: SparkSession, folder: str) -> DataFrame:
