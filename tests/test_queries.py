@@ -47,3 +47,14 @@ def test_query_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["b1_recent_events", "b2_around", "d4_voice_stats", "d5_touch_stats", "d6_scorecard", "d8_timeline_counts", "j10_timeline", "j13_hot_words", "d18_profile_titles"])
+def test_bounds_reach_the_scan_before_deliveries_meet(spark, name, capsys):
+    entry.queries()[name](spark, FOLDER).explain("formatted")
+    plan = capsys.readouterr().out
+    pushed = next(line for line in plan.splitlines() if line.startswith("PushedFilters"))
+    assert "GreaterThanOrEqual(timestamp" in pushed and "In(modality" in pushed
+    assert "hashpartitioning(event_id" in plan
+    if name in ("b1_recent_events", "b2_around", "d6_scorecard", "d8_timeline_counts", "d18_profile_titles"):
+        assert "payload" not in plan

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,14 +37,41 @@ def validated(events: DataFrame, as_of: float) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
-def first_per_key(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
+def first_per_key(df: DataFrame, key: str, *order: str, columns: Sequence[str] | None = None) -> DataFrame:
     """One row for each key, the first by ``order`` with nulls last and all other columns as tie-break: insert-or-ignore in bulk.
 
     Null keys are one key. Only orderable columns serve as tie-break. An empty table stays empty.
+    With ``columns`` only those come out, and only what can decide about them is shuffled: ties are
+    broken column by column, so none behind the last wanted one matters.
     """
     rest = [c for c, kind in df.dtypes if c != key and c not in order and not kind.startswith(("map", "variant"))]
-    window = Window.partitionBy(key).orderBy(*(F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in (*order, *rest)))
-    return df.withColumn("__nth", F.row_number().over(window)).where("__nth = 1").drop("__nth")
+    if columns is not None:
+        rest = rest[: max((n for n, c in enumerate(rest, 1) if c in columns), default=0)]
+        df = df.select(*dict.fromkeys((key, *order, *rest, *columns)))
+    window = Window.partitionBy(key).orderBy(*(F.col(c).asc_nulls_last() for c in (*order, *rest)))
+    first = df.withColumn("__nth", F.row_number().over(window)).where("__nth = 1").drop("__nth")
+    return first if columns is None else first.select(*columns)
+
+
+def acceptable(as_of: float) -> Column:
+    """Does an event pass validation? The same rule as ``rejection``, as plain conjuncts that reach the Parquet scan (NaN is above every bound)."""
+    time = F.col("timestamp")
+    in_time = (time > 0) & (time <= as_of + FUTURE_SKEW)
+    return F.col("event_id").isNotNull() & (F.col("event_id") != "") & in_time & F.col("modality").isin(*MODALITIES) & F.col("event_type").isin(*EVENT_TYPES)
+
+
+def stored_events(
+    deliveries: DataFrame, as_of: float, since: float | None = None, until: float | None = None, modality: str | None = None, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """The event log as a store holds it: valid events, the first delivery of each id.
+
+    A redelivered event keeps its time and modality, so bounds on them (both inclusive) are applied
+    before deliveries meet by id: only the asked part of the log is shuffled, and of it only what ``columns`` need.
+    """
+    rows = deliveries.where(acceptable(as_of))
+    for wanted, condition in ((since, F.col("timestamp") >= F.lit(since)), (until, F.col("timestamp") <= F.lit(until)), (modality, F.col("modality") == F.lit(modality))):
+        rows = rows if wanted is None else rows.where(condition)
+    return first_per_key(rows, "event_id", "created_at", columns=columns)
 
 
 def insert_new(target: DataFrame, incoming: DataFrame, key: str, *order: str) -> DataFrame:

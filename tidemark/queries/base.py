@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.ingest import first_per_key, validated
+from tidemark.operators.ingest import first_per_key, stored_events
 from tidemark.plans.durable import table
 
 BLOCKLIST = ["schedule", "Budget"]
@@ -17,15 +19,29 @@ def clock(spark: SparkSession, folder: str) -> float:
     return float(row[0] or 0.0)
 
 
-def stored(spark: SparkSession, folder: str, as_of: float | None = None) -> DataFrame:
-    """The event log as a store holds it: valid events, the first of each id."""
+BRIEF = ("event_id", "timestamp", "modality", "event_type")
+SAID = (*BRIEF, "payload")
+
+
+def stored(
+    spark: SparkSession,
+    folder: str,
+    as_of: float | None = None,
+    since: float | None = None,
+    until: float | None = None,
+    modality: str | None = None,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """The event log as a store holds it, or the part of it that a query asks for."""
     as_of = clock(spark, folder) if as_of is None else as_of
-    return first_per_key(validated(table(spark, folder, "spine_events"), as_of)[0], "event_id", "created_at")
+    return stored_events(table(spark, folder, "spine_events"), as_of, since, until, modality, columns)
 
 
-def once(spark: SparkSession, folder: str, name: str, key: str = "id") -> DataFrame:
-    """A log table with rows delivered again counted once."""
-    return first_per_key(table(spark, folder, name), key, "timestamp")
+def once(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None, since: float | None = None) -> DataFrame:
+    """A log table with rows delivered again counted once; a row delivered again keeps its time, so a time bound comes first."""
+    rows = table(spark, folder, name)
+    rows = rows if since is None else rows.where(F.col("timestamp") >= since)
+    return first_per_key(rows, "id", "timestamp", columns=columns)
 
 
 _DOMAIN = """modality IN ('sight','voice','clipboard','system','keys','flow') AND event_type IN ('screen_capture','ocr_result','speech_start','speech_end','transcription',

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.payload import parsed
 from tidemark.operators import ingest
 from tidemark.plans.durable import table
-from tidemark.queries.base import ACTIVITY, MEMORIES, STORED, clock, once, stored
+from tidemark.queries.base import ACTIVITY, BRIEF, MEMORIES, SAID, STORED, clock, once, stored
 
 
 def a1_quarantine(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,17 +16,17 @@ def a1_quarantine(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def a2_stored_events(spark: SparkSession, folder: str) -> DataFrame:
-    return stored(spark, folder).select("event_id", "timestamp", "modality", "event_type", "created_at")
+    return stored(spark, folder, columns=(*BRIEF, "created_at"))
 
 
 def a3_payload_codec(spark: SparkSession, folder: str) -> DataFrame:
-    there = stored(spark, folder).select("event_id", parsed(F.col("payload")).alias("v"))
+    there = stored(spark, folder, columns=SAID).select("event_id", parsed(F.col("payload")).alias("v"))
     return there.select("event_id", F.size(F.json_object_keys(F.to_json("v"))).alias("n_fields")).where("n_fields is not null")
 
 
 def a5_late_ocr(spark: SparkSession, folder: str) -> DataFrame:
-    captures = once(spark, folder, "activity").select("id", "ocr_text", "ocr_confidence")
-    late = stored(spark, folder).where("event_type = 'ocr_result'").groupBy(F.col("monitor_index").cast("bigint").alias("id")).agg(F.max("created_at").alias("ocr_confidence"))
+    captures = once(spark, folder, "activity", ("id", "ocr_confidence"))
+    late = stored(spark, folder, columns=("event_type", "monitor_index", "created_at")).where("event_type = 'ocr_result'").groupBy(F.col("monitor_index").cast("bigint").alias("id")).agg(F.max("created_at").alias("ocr_confidence"))
     return ingest.late_update(captures.select("id", "ocr_confidence"), late, "id", ["ocr_confidence"])
 
 
@@ -54,7 +54,7 @@ def a10_forget(spark: SparkSession, folder: str) -> DataFrame:
 
 def a19_delete_by_payload(spark: SparkSession, folder: str) -> DataFrame:
     drop = F.coalesce(F.try_variant_get(parsed(F.col("payload")), "$.storage_mode", "string") == "visual", F.lit(False))
-    return stored(spark, folder).where(~drop).groupBy("event_type").agg(F.count("*").alias("n"))
+    return stored(spark, folder, columns=SAID).where(~drop).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 def a20_token_cost(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,40 +9,38 @@ from tidemark.functions.payload import field
 from tidemark.operators import recent
 from tidemark.operators.ingest import upsert_memories
 from tidemark.plans.durable import table
-from tidemark.queries.base import ACTIVITY, BLOCKLIST, CLIPBOARD, MEMORIES, STORED, clock, once, stored
-
-_BRIEF = ("event_id", "timestamp", "modality", "event_type")
+from tidemark.queries.base import ACTIVITY, BLOCKLIST, BRIEF, SAID, CLIPBOARD, MEMORIES, STORED, clock, once, stored
 
 
 def b1_recent_events(spark: SparkSession, folder: str) -> DataFrame:
     now = clock(spark, folder)
-    return recent.recent_events(stored(spark, folder, now), now, 7200, "sight").select(*_BRIEF)
+    return recent.recent_events(stored(spark, folder, now, now - 7200, modality="sight", columns=BRIEF), now, 7200, "sight")
 
 
 def b2_around(spark: SparkSession, folder: str) -> DataFrame:
     now = clock(spark, folder)
-    return recent.around(stored(spark, folder, now), now - 3600, 300).select(*_BRIEF)
+    return recent.around(stored(spark, folder, now, now - 3900, now - 3300, columns=BRIEF), now - 3600, 300)
 
 
 def b3_count(spark: SparkSession, folder: str) -> DataFrame:
-    return stored(spark, folder).groupBy("modality").agg(F.count("*").alias("n"))
+    return stored(spark, folder, columns=("event_id", "modality")).groupBy("modality").agg(F.count("*").alias("n"))
 
 
 def b4_touch_events(spark: SparkSession, folder: str) -> DataFrame:
     now = clock(spark, folder)
-    return recent.recent_events(stored(spark, folder, now), now, 86_400, None, ["typing_burst", "click", "scroll", "drag", "correction_detected"]).select(*_BRIEF)
+    return recent.recent_events(stored(spark, folder, now, now - 86_400, columns=BRIEF), now, 86_400, None, ["typing_burst", "click", "scroll", "drag", "correction_detected"])
 
 
 def b5_transcriptions(spark: SparkSession, folder: str) -> DataFrame:
     now = clock(spark, folder)
     p = F.col("payload")
-    shown = recent.recent_events(stored(spark, folder, now), now, 100 * 3600, "voice", ["transcription"], 200)
+    shown = recent.recent_events(stored(spark, folder, now, now - 360_000, modality="voice", columns=SAID), now, 100 * 3600, "voice", ["transcription"], 200)
     return shown.select("event_id", "timestamp", field(p, "raw_transcript").alias("raw"), field(p, "transcript").alias("clean"), F.coalesce(field(p, "fix_last", kind="boolean"), F.lit(False)).alias("fix_last"))
 
 
 def b6_corrections(spark: SparkSession, folder: str) -> DataFrame:
     p = F.col("payload")
-    shown = recent.newest(stored(spark, folder).where("event_type = 'correction_detected'"), 20)
+    shown = recent.newest(stored(spark, folder, columns=SAID).where("event_type = 'correction_detected'"), 20)
     return shown.select("event_id", "timestamp", field(p, "original_word", "original_text").alias("original"), field(p, "corrected_word", "corrected_text").alias("corrected"), field(p, "confidence", kind="double").alias("confidence"))
 
 
@@ -73,26 +71,26 @@ def b10_prune(spark: SparkSession, folder: str) -> DataFrame:
 
 def b11_age_prune(spark: SparkSession, folder: str) -> DataFrame:
     now = clock(spark, folder)
-    return once(spark, folder, "activity").where(F.col("timestamp") >= now - 86_400).groupBy("monitor_index").agg(F.count("*").alias("n"))
+    return once(spark, folder, "activity", ("id", "timestamp", "monitor_index"), now - 86_400).groupBy("monitor_index").agg(F.count("*").alias("n"))
 
 
 def b13_recent_frames(spark: SparkSession, folder: str) -> DataFrame:
-    captures = once(spark, folder, "activity")
+    captures = once(spark, folder, "activity", ("timestamp", "frame_path", "diff_score"))
     frames = captures.where("frame_path is not null and timestamp is not null").groupBy("frame_path").agg(F.min("timestamp").alias("timestamp"))
     return recent.frames_with_diff(frames, captures, 5.0, 50).select("frame_path", "timestamp", "diff_score")
 
 
 def b15_blocklist(spark: SparkSession, folder: str) -> DataFrame:
     hidden = recent.blocked(F.col("window_title"), BLOCKLIST)
-    return once(spark, folder, "activity").groupBy("monitor_index").agg(F.count_if(hidden).alias("hidden"), F.count_if(~hidden).alias("shown"))
+    return once(spark, folder, "activity", ("monitor_index", "window_title")).groupBy("monitor_index").agg(F.count_if(hidden).alias("hidden"), F.count_if(~hidden).alias("shown"))
 
 
 def b16_masked_titles(spark: SparkSession, folder: str) -> DataFrame:
-    return once(spark, folder, "activity").select("id", "app_name", recent.masked_title(F.col("window_title"), BLOCKLIST).alias("window_title"))
+    return once(spark, folder, "activity", ("id", "app_name", "window_title")).select("id", "app_name", recent.masked_title(F.col("window_title"), BLOCKLIST).alias("window_title"))
 
 
 def b17_frame_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    captures = once(spark, folder, "activity").where("frame_path is not null")
+    captures = once(spark, folder, "activity", ("id", "frame_path")).where("frame_path is not null")
     return captures.groupBy("frame_path").agg(F.min("id").alias("id"))
 
 
@@ -110,7 +108,7 @@ def b21_storage(spark: SparkSession, folder: str) -> DataFrame:
     p = F.col("payload")
     mode = field(p, "storage_mode")
     kind = F.when(field(p, "token_estimate", kind="double") > 500, "text").otherwise("image")
-    return stored(spark, folder).where("event_type = 'screen_capture'").select("event_id", recent.storage_kept(mode, kind, F.col("monitor_index") == 2).alias("kept"))
+    return stored(spark, folder, columns=("event_id", "event_type", "monitor_index", "payload")).where("event_type = 'screen_capture'").select("event_id", recent.storage_kept(mode, kind, F.col("monitor_index") == 2).alias("kept"))
 
 
 def b22_clipboard_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,11 +122,11 @@ def b23_clipboard_history(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def c2_latest_per_monitor(spark: SparkSession, folder: str) -> DataFrame:
-    return recent.latest_per_group(once(spark, folder, "activity"), "monitor_index").select("monitor_index", "id", "timestamp", "app_name")
+    return recent.latest_per_group(once(spark, folder, "activity", ("id", "timestamp", "app_name", "monitor_index")), "monitor_index").select("monitor_index", "id", "timestamp", "app_name")
 
 
 def c7_nearest(spark: SparkSession, folder: str) -> DataFrame:
-    return recent.nearest_row(once(spark, folder, "activity"), clock(spark, folder) - 5000).select("id", "timestamp", "app_name")
+    return recent.nearest_row(once(spark, folder, "activity", ("id", "timestamp", "app_name")), clock(spark, folder) - 5000).select("id", "timestamp", "app_name")
 
 
 def c8_monitor_summary(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tidemark.functions.payload import field
 from tidemark.operators import changes, summaries, timejoin
 from tidemark.operators.ingest import image_tokens, text_tokens, upsert_memories
 from tidemark.plans.durable import table
-from tidemark.queries.base import ACTIVITY, CALLS, CLIPBOARD, MEMORIES, STORED, clock, once, stored
+from tidemark.queries.base import ACTIVITY, BRIEF, CALLS, CLIPBOARD, MEMORIES, SAID, STORED, clock, once, stored
 
 DAY = 86_400
 
@@ -19,12 +19,12 @@ def _of(events: DataFrame, kind: str) -> DataFrame:
 
 
 def c3_interval_join(spark: SparkSession, folder: str) -> DataFrame:
-    events = stored(spark, folder)
+    events = stored(spark, folder, columns=BRIEF)
     return timejoin.range_join(_of(events, "transcription"), _of(events, "correction_detected"), 0, 30).select("l_event_id", "r_event_id")
 
 
 def c4_screen_context(spark: SparkSession, folder: str) -> DataFrame:
-    events, p = stored(spark, folder), F.col("payload")
+    events, p = stored(spark, folder, columns=SAID), F.col("payload")
     seen = events.where("event_type = 'ocr_result'").select("event_id", "timestamp", field(p, "ocr_text").alias("text"), F.coalesce(field(p, "ocr_confidence", kind="double"), F.lit(0.0)).alias("confidence"))
     pairs = timejoin.range_join(_of(events, "transcription"), seen.where("confidence >= 0.75"), -60, 60)
     ordered = F.array_sort(F.collect_list(F.struct("r_timestamp", "r_event_id", "r_text")))
@@ -32,25 +32,26 @@ def c4_screen_context(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def c6_hash_join(spark: SparkSession, folder: str) -> DataFrame:
-    events, p = stored(spark, folder), F.col("payload")
+    events, p = stored(spark, folder, columns=SAID), F.col("payload")
     clips = events.where("event_type = 'clipboard_change'").select("event_id", "timestamp", F.coalesce(field(p, "hash"), timejoin.content_hash(field(p, "text"))).alias("hash"))
     again = clips.select(F.concat(F.lit("again "), "event_id").alias("event_id"), (F.col("timestamp") + 20).alias("timestamp"), "hash")
     return timejoin.voice_source(again, clips, 30.0)
 
 
 def c7_nearest_capture(spark: SparkSession, folder: str) -> DataFrame:
-    probes = once(spark, folder, "clipboard").select(F.col("id").alias("clip_id"), "timestamp")
-    captures = once(spark, folder, "activity").select(F.col("id").alias("capture_id"), "timestamp")
+    probes = once(spark, folder, "clipboard", ("id", "timestamp")).select(F.col("id").alias("clip_id"), "timestamp")
+    captures = once(spark, folder, "activity", ("id", "timestamp")).select(F.col("id").alias("capture_id"), "timestamp")
     return timejoin.nearest_join(probes, captures, "clip_id", "capture_id")
 
 
 def c9_semi_join(spark: SparkSession, folder: str) -> DataFrame:
-    sources = stored(spark, folder).select(F.col("event_id").alias("source_event_id"))
+    sources = stored(spark, folder, columns=("event_id",)).select(F.col("event_id").alias("source_event_id"))
     return upsert_memories(table(spark, folder, "memories")).join(sources, "source_event_id", "left_semi").select("key", "source_event_id")
 
 
 def d1_app_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return summaries.app_summary(once(spark, folder, "activity"), clock(spark, folder) - DAY)
+    since = clock(spark, folder) - DAY
+    return summaries.app_summary(once(spark, folder, "activity", ("id", "timestamp", "app_name"), since), since)
 
 
 def d2_app_share(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,33 +59,38 @@ def d2_app_share(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def d1_titles(spark: SparkSession, folder: str) -> DataFrame:
-    return summaries.recent_titles(once(spark, folder, "activity"), clock(spark, folder) - DAY)
+    since = clock(spark, folder) - DAY
+    return summaries.recent_titles(once(spark, folder, "activity", ("id", "timestamp", "window_title"), since), since)
 
 
 def d3_call_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return summaries.call_stats(once(spark, folder, "mcp_calls"), clock(spark, folder) - DAY)
+    since = clock(spark, folder) - DAY
+    return summaries.call_stats(once(spark, folder, "mcp_calls", since=since), since)
 
 
 def d4_voice_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return summaries.voice_stats(stored(spark, folder), clock(spark, folder) - DAY)
+    now = clock(spark, folder)
+    return summaries.voice_stats(stored(spark, folder, now, now - DAY, modality="voice", columns=SAID), now - DAY)
 
 
 def d5_touch_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return summaries.touch_stats(stored(spark, folder), clock(spark, folder) - DAY)
+    now = clock(spark, folder)
+    return summaries.touch_stats(stored(spark, folder, now, now - DAY, columns=SAID), now - DAY)
 
 
 def d6_scorecard(spark: SparkSession, folder: str) -> DataFrame:
-    return summaries.scorecard(stored(spark, folder), clock(spark, folder) - DAY)
+    now = clock(spark, folder)
+    return summaries.scorecard(stored(spark, folder, now, now - DAY, columns=BRIEF), now - DAY)
 
 
 def d6_corrected_words(spark: SparkSession, folder: str) -> DataFrame:
-    return summaries.corrected_words(stored(spark, folder))
+    return summaries.corrected_words(stored(spark, folder, columns=SAID))
 
 
 def d7_weekly_trend(spark: SparkSession, folder: str) -> DataFrame:
     day = F.floor(F.col("timestamp") / 3600).cast("string")  # an entry for each hour
     said, fixed = F.count_if(F.col("event_type") == "transcription"), F.count_if(F.col("event_type") == "correction_detected")
-    history = stored(spark, folder).groupBy(day.alias("date")).agg(F.try_divide(fixed, said).alias("correction_rate"), said.alias("vocab_user_size"), F.array(F.struct(F.lit("word").alias("word"), fixed.alias("count"))).alias("top_corrected_words"))
+    history = stored(spark, folder, columns=BRIEF).groupBy(day.alias("date")).agg(F.try_divide(fixed, said).alias("correction_rate"), said.alias("vocab_user_size"), F.array(F.struct(F.lit("word").alias("word"), fixed.alias("count"))).alias("top_corrected_words"))
     report = summaries.weekly_report(history)
     growth = report["growth"].select("user").first()
     return report["trend"].select("date", "correction_rate", F.lit(growth["user"] if growth else None).cast("bigint").alias("growth"))
@@ -92,11 +98,11 @@ def d7_weekly_trend(spark: SparkSession, folder: str) -> DataFrame:
 
 def d8_timeline_counts(spark: SparkSession, folder: str) -> DataFrame:
     now = clock(spark, folder)
-    return stored(spark, folder, now).where(F.col("timestamp") > now - 3600).groupBy("modality", "event_type").agg(F.count("*").alias("n"))
+    return stored(spark, folder, now, now - 3600, columns=BRIEF).where(F.col("timestamp") > now - 3600).groupBy("modality", "event_type").agg(F.count("*").alias("n"))
 
 
 def d10_escalations(spark: SparkSession, folder: str) -> DataFrame:
-    return summaries.escalations(stored(spark, folder), 0.0, 2)
+    return summaries.escalations(stored(spark, folder, columns=SAID), 0.0, 2)
 
 
 def d15_cold_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,7 +121,8 @@ def d17_buffer_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def d18_profile_titles(spark: SparkSession, folder: str) -> DataFrame:
-    return summaries.recent_titles(stored(spark, folder), clock(spark, folder) - 7200, 10, ["Program Manager"], 4)
+    now = clock(spark, folder)
+    return summaries.recent_titles(stored(spark, folder, now, now - 7200, columns=("timestamp", "window_title")), now - 7200, 10, ["Program Manager"], 4)
 
 
 def d19_confidence_histogram(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,25 +134,25 @@ def d20_pass_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def e2_no_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    return changes.drop_repeats(stored(spark, folder), "event_type", "modality", "timestamp", "event_id").select("event_id", "modality", "event_type")
+    return changes.drop_repeats(stored(spark, folder, columns=BRIEF), "event_type", "modality", "timestamp", "event_id").select("event_id", "modality", "event_type")
 
 
 def e5_idle_wakes(spark: SparkSession, folder: str) -> DataFrame:
-    return changes.idle_wakes(once(spark, folder, "activity"), "monitor_index").select("id", "gap", changes.adaptive_interval(F.col("gap"), 5.0, 30.0).alias("interval"))
+    return changes.idle_wakes(once(spark, folder, "activity", ("id", "timestamp", "monitor_index")), "monitor_index").select("id", "gap", changes.adaptive_interval(F.col("gap"), 5.0, 30.0).alias("interval"))
 
 
 def e6_focus_changes(spark: SparkSession, folder: str) -> DataFrame:
-    return changes.focus_changes(once(spark, folder, "activity")).select("id", "window_title", "previous_title")
+    return changes.focus_changes(once(spark, folder, "activity", ("id", "timestamp", "window_title", "monitor_index"))).select("id", "window_title", "previous_title")
 
 
 def g1_typing_bursts(spark: SparkSession, folder: str) -> DataFrame:
     moments = F.timestamp_micros(F.round(F.col("timestamp") * 1e6).cast("bigint"))
-    keys = stored(spark, folder).select("modality", moments.alias("ts"), F.lit("x").alias("key_char"), (F.col("event_type") == "scroll").alias("is_backspace"), (F.col("event_type") == "drag").alias("is_selection"))
+    keys = stored(spark, folder, columns=BRIEF).select("modality", moments.alias("ts"), F.lit("x").alias("key_char"), (F.col("event_type") == "scroll").alias("is_backspace"), (F.col("event_type") == "drag").alias("is_selection"))
     return changes.typing_bursts(keys, "modality", 30.0).select("modality", "char_count", "word_count", "duration_ms", "backspace_count", "has_selection")
 
 
 def g3_debounced(spark: SparkSession, folder: str) -> DataFrame:
-    return changes.debounced(stored(spark, folder).select("event_id", "modality", "timestamp"), "modality", 20.0, key="event_id").select("event_id", "modality")
+    return changes.debounced(stored(spark, folder, columns=("event_id", "modality", "timestamp")), "modality", 20.0, key="event_id").select("event_id", "modality")
 
 
 def g4_stored_clips(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,7 +160,7 @@ def g4_stored_clips(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def g7_watch_windows(spark: SparkSession, folder: str) -> DataFrame:
-    events = stored(spark, folder)
+    events = stored(spark, folder, columns=BRIEF)
     return changes.watch_windows(_of(events, "paste_detected"), _of(events, "window_focus"), 600.0)
 
 

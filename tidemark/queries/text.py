@@ -10,8 +10,9 @@ from tidemark.functions.payload import display_text, field, indexed_text, text_c
 from tidemark.operators import mining, recent, routing, search
 from tidemark.operators.ingest import upsert_memories
 from tidemark.plans.durable import table
-from tidemark.queries.base import ACTIVITY, BLOCKLIST, CLIPBOARD, MEMORIES, STORED, clock, once, stored
+from tidemark.queries.base import ACTIVITY, BLOCKLIST, CLIPBOARD, MEMORIES, SAID, STORED, clock, once, stored
 
+SEARCH_COLUMNS = (*SAID, "window_title", "app_name")
 SEARCHED = "(schedule OR budget) AND meet* NOT label"
 
 
@@ -27,7 +28,7 @@ def _dictations(spark: SparkSession, folder: str) -> DataFrame:
 
 def i1_payload_texts(spark: SparkSession, folder: str) -> DataFrame:
     p = F.col("payload")
-    return stored(spark, folder).select("event_id", indexed_text(p).alias("indexed"), display_text(p).alias("shown"), text_content(p).alias("content"))
+    return stored(spark, folder, columns=SAID).select("event_id", indexed_text(p).alias("indexed"), display_text(p).alias("shown"), text_content(p).alias("content"))
 
 
 def i4_camel_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,7 +89,7 @@ def d9_clipped_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 def j13_hot_words(spark: SparkSession, folder: str) -> DataFrame:
     now = clock(spark, folder)
-    events = stored(spark, folder, now)
+    events = stored(spark, folder, now, now - 86_400, modality="sight", columns=SAID)
     return mining.hot_words(events, now, 86_400, 200)
 
 
@@ -110,11 +111,11 @@ def d14_learned_phrases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def c5_cross_modal(spark: SparkSession, folder: str) -> DataFrame:
-    return mining.cross_modal(stored(spark, folder), 0.0, 600.0, 600.0, 0.5)
+    return mining.cross_modal(stored(spark, folder, columns=SAID), 0.0, 600.0, 600.0, 0.5)
 
 
 def c12_harvest(spark: SparkSession, folder: str) -> DataFrame:
-    events, p = stored(spark, folder), F.col("payload")
+    events, p = stored(spark, folder, columns=SAID), F.col("payload")
     screens = events.where("event_type = 'ocr_result'").select("event_id", "timestamp", field(p, "ocr_text").alias("text"))
     said = screens.select(F.concat(F.lit("said "), "event_id").alias("event_id"), "timestamp", F.regexp_replace("text", r"([a-z])([A-Z])", "$1 $2").alias("raw"))
     return mining.harvest_for(said, screens)
@@ -133,7 +134,7 @@ def c10_new_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 def g8_extracted(spark: SparkSession, folder: str) -> DataFrame:
     p = F.col("payload")
-    fixed = stored(spark, folder).where("event_type = 'correction_detected'").select("event_id", "monitor_index", field(p, "original_word", "original_text").alias("o"), field(p, "corrected_word", "corrected_text").alias("c")).where("o <> '' and c <> ''")
+    fixed = stored(spark, folder, columns=(*SAID, "monitor_index")).where("event_type = 'correction_detected'").select("event_id", "monitor_index", field(p, "original_word", "original_text").alias("o"), field(p, "corrected_word", "corrected_text").alias("c")).where("o <> '' and c <> ''")
     found = mining.extract_correction(F.concat(F.lit("please check the "), F.col("o")), F.col("c"), F.length("o"), F.coalesce(F.col("monitor_index") == 1, F.lit(False)))
     return fixed.select("event_id", found.alias("x")).where("x is not null").select("event_id", "x.original_word", "x.corrected_word", "x.correction_type")
 
@@ -164,12 +165,12 @@ def _searchable(events: DataFrame) -> DataFrame:
 
 def j1_event_search(spark: SparkSession, folder: str) -> DataFrame:
     now = clock(spark, folder)
-    found = search.full_text(_searchable(stored(spark, folder, now)), ["window_title", "app_name", "text_content"], SEARCHED).where(F.col("timestamp") > now - 200_000)
+    found = search.full_text(_searchable(stored(spark, folder, now, columns=SEARCH_COLUMNS)), ["window_title", "app_name", "text_content"], SEARCHED).where(F.col("timestamp") > now - 200_000)
     return search.best(found, 50, "event_id").select("event_id", F.round("score", 6).alias("score"))
 
 
 def j1_stemmed_search(spark: SparkSession, folder: str) -> DataFrame:
-    found = search.full_text(_searchable(stored(spark, folder)), ["window_title", "app_name", "text_content"], "scheduling meetings", stemming=True)
+    found = search.full_text(_searchable(stored(spark, folder, columns=SEARCH_COLUMNS)), ["window_title", "app_name", "text_content"], "scheduling meetings", stemming=True)
     return search.best(found, 50, "event_id").select("event_id", F.round("score", 6).alias("score"))
 
 
@@ -210,14 +211,14 @@ def j7_hybrid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j9_search_view(spark: SparkSession, folder: str) -> DataFrame:
-    found = search.best(search.full_text(_searchable(stored(spark, folder)), ["window_title", "app_name", "text_content"], "meeting OR schedule"), 50, "event_id")
+    found = search.best(search.full_text(_searchable(stored(spark, folder, columns=SEARCH_COLUMNS)), ["window_title", "app_name", "text_content"], "meeting OR schedule"), 50, "event_id")
     shown = search.best(found.where(~recent.blocked(F.col("window_title"), BLOCKLIST)), 25, "event_id")
     return shown.select("event_id", T.snippet(F.coalesce("text_content", F.lit("")), 150).alias("snippet"))
 
 
 def j10_timeline(spark: SparkSession, folder: str) -> DataFrame:
     now, p = clock(spark, folder), F.col("payload")
-    top = recent.recent_events(stored(spark, folder, now), now, 7200, limit=100)
+    top = recent.recent_events(stored(spark, folder, now, now - 7200, columns=(*SAID, "window_title")), now, 7200, limit=100)
     shown = top.where(~recent.blocked(F.col("window_title"), BLOCKLIST)).orderBy("timestamp", "event_id").limit(50)
     return shown.select("event_id", T.time_label(F.col("timestamp")).alias("at"), F.substring(F.coalesce("window_title", F.lit("")), 1, 50).alias("title"), field(p, "wpm", kind="double").alias("wpm"), field(p, "word_count", kind="double").alias("words"))
 
