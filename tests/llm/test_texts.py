@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -14,12 +15,26 @@ def docs(spark, data):
     return spark.createDataFrame([(i, t, s, "x", "y") for i, t, s in data], DOCS)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab 's're!?.\n\t12é日本🙂 ​́\x00'")), max_size=400), st.sampled_from([1, 7, 40]))
-def test_fragments_encode_as_the_whole(text, size):
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abqxzlvetdm 's're!?.\n\t12é日本🙂 ​́\x00\u3000'")), max_size=120), max_size=4))
+def test_fragments_encode_as_the_whole(texts):
     own = encoder(VOCABULARY)
-    assert "".join(own.fragments(text, size)) == text
-    assert own.ids(text, size) == (own.encode(text) if text else [])
+    for text in texts:
+        assert "".join(own.fragments(text)) == text
+        assert [i for f in own.fragments(text) for i in own.encode(f)] == own.encode(text)
+    assert own.batch(pa.array([*texts, None], pa.string())).to_pylist() == [own.encode(t) for t in texts] + [[]]
+    assert own.batch(pa.array(["ab cd", *texts], pa.string()).slice(1)).to_pylist() == [own.encode(t) for t in texts]
+
+
+def test_cuts_across_windows(monkeypatch):
+    from tidemark.llm import encode
+
+    own, text = encoder(VOCABULARY), "some words 1234567 é é qxqxqx zqjx\n" * 40
+    whole = own.fragments(text)
+    for size in (1, 2, 7):
+        monkeypatch.setattr(encode, "WINDOW_BYTES", size)
+        assert own.fragments(text) == whole
+    assert len(whole) > 200
 
 
 def test_encode_corpus(spark):
@@ -30,10 +45,12 @@ def test_encode_corpus(spark):
     texts = ["plain words", None, "", "   ", "<|endoftext|> x", "word " * 30_000, "x" * 50_000, "日本語テキスト" * 3000, "plain words"]
     data = [(i, x, "s") for i, x in enumerate(texts)]
     want = {i: t.encode(x or "", add_special_tokens=False).ids for i, x, _ in data}
-    for row_chars in (4_000_000, 9_000):
-        got = {r["doc_id"]: r["ids"] for r in encode_corpus(docs(spark, data), row_chars=row_chars).collect()}
-        assert got == want
+    got = {r["doc_id"]: r["ids"] for r in encode_corpus(docs(spark, data)).collect()}
+    assert got == want
     assert encode_corpus(docs(spark, [])).collect() == []
+    # rows of one key stay rows of their own, also very long ones
+    twice = encode_corpus(docs(spark, [(1, "ab " * 1_700_000, "s"), (1, "cd " * 1_700_000, "s"), (None, "ab", "s")])).select("doc_id", "n_tokens").collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in twice) == [(0, 1), (1, 1_700_001), (1, 1_700_001)]
 
 
 @settings(max_examples=60, deadline=None)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import base64
+import itertools
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +19,10 @@ from tidemark.plans.durable import spread
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pre-tokenisation pattern of the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A text is cut into fragments of about this many characters; cuts are looked for from there on.
-FRAGMENT_CHARS = 8192
-#: Rows with texts longer than this are cut into several rows, to be encoded on several tasks.
-ROW_CHARS = 4_000_000
+#: Bytes looked at in one step; how many fragments of up to how many bytes a worker remembers the ids of.
+WINDOW_BYTES = 8 << 20
+REMEMBERED = 400_000
+REMEMBERED_BYTES = 64
 
 
 def read_ranks(vocabulary: str) -> dict[bytes, int]:
@@ -39,44 +40,96 @@ def inner_pairs(ranks: dict[bytes, int]) -> np.ndarray:
     return seen
 
 
+def _ascii(signs: str) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(signs.encode())] = True
+    return table
+
+
+_LETTERS, _DIGITS = _ascii(string.ascii_letters), _ascii(string.digits)
+_BLANKS, _SIGNS = _ascii(" \n"), _ascii(string.ascii_letters + string.digits + string.punctuation)
+#: First bytes of two-byte characters from U+00C0 on: no blanks among them.
+_PLAIN_LEADS = np.isin(np.arange(256), np.arange(0xC3, 0xE0))
+
+
 class ForcedBoundaryEncoder:
-    """Encodes fragments between forced boundaries one by one and puts their ids together.
+    """Cuts texts at all forced boundaries, encodes each different fragment once and puts the ids together.
 
     A byte pair that no vocabulary token contains can't be merged over, so a token boundary lies
-    between its bytes whatever surrounds it. Of these places a cut is made only where the
-    pre-tokenisation on both sides stays the same too: before a blank that follows a letter, digit
-    or ASCII sign, or between two letters or two digits.
+    between its bytes whatever surrounds it. Of these places a cut is made where the
+    pre-tokenisation on both sides stays the same too: before a blank that follows a sign, and
+    between two letters or two digits. One table lookup for each byte finds them all.
     """
 
     def __init__(self, vocabulary: str):
         import tiktoken
 
         ranks = read_ranks(vocabulary)
-        self.inside = inner_pairs(ranks)
+        left, right = np.ogrid[:256, :256]
+        free = ~inner_pairs(ranks)
+        plain = (_BLANKS[right] & _SIGNS[left]) | (_LETTERS[left] & _LETTERS[right]) | (_DIGITS[left] & _DIGITS[right])
+        #: For each byte pair: may a fragment begin at its second byte? 2: if the first one ends a letter beyond ASCII.
+        self.places = (np.where(plain, 1, np.where(_BLANKS[right] & (left >= 0x80), 2, 0)) * free).astype(np.uint8).reshape(-1)
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.places = regex.compile(r"(?<=[\p{L}\p{N}!-~])(?=[ \n])|(?<=\p{L})(?=\p{L})|(?<=\p{N})(?=\p{N})")
-
-    def forced(self, text: str, at: int) -> bool:
-        return not self.inside[text[at - 1].encode()[-1], text[at].encode()[0]]
-
-    def fragments(self, text: str, size: int = FRAGMENT_CHARS) -> Iterator[str]:
+        self.known: dict[bytes, list[int]] = {}
+
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Positions in UTF-8 bytes where a fragment may begin; a place at a text's own edge is one more, for the caller to add."""
+        found = []
+        for begin in range(0, max(len(data) - 1, 0), WINDOW_BYTES):
+            left, right = data[begin : begin + WINDOW_BYTES][: len(data) - 1 - begin], data[begin + 1 : begin + 1 + WINDOW_BYTES]
+            place = self.places[(left.astype(np.uint16) << 8) | right]
+            at = np.flatnonzero(place) + begin + 1
+            unsure = at[place[at - begin - 1] == 2]
+            unsure = unsure[(unsure < 2) | ~_PLAIN_LEADS[data[unsure - 2]]]
+            found.append(np.setdiff1d(at, unsure, assume_unique=True) if len(unsure) else at)
+        return np.concatenate(found) if found else np.array([], np.int64)
+
+    def fragments(self, text: str) -> list[str]:
         """Parts of ``text`` whose ids, one after the other, are the ids of ``text``."""
-        begin = 0
-        while len(text) - begin > size:
-            at = next((m.start() for m in self.places.finditer(text, begin + size) if self.forced(text, m.start())), None)
-            if at is None:
-                break
-            yield text[begin:at]
-            begin = at
-        yield text[begin:]
-
-    def ids(self, text: str | None, size: int = FRAGMENT_CHARS) -> list[int]:
-        """Token ids; a null or empty text has none."""
-        if not text:
-            return []
-        if len(text) <= size:
-            return self.encode(text)
-        return [i for fragment in self.fragments(text, size) for i in self.encode(fragment)]
+        raw = text.encode()
+        edges = [0, *self.cuts(np.frombuffer(raw, np.uint8)).tolist(), len(raw)]
+        return [raw[b:e].decode() for b, e in zip(edges, edges[1:])]
+
+    def _ids_of(self, fragment: bytes) -> list[int]:
+        ids = self.known.get(fragment)
+        if ids is None:
+            ids = self.encode(fragment.decode())
+            if len(fragment) <= REMEMBERED_BYTES:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[fragment] = ids
+        return ids
+
+    def batch(self, texts: pa.Array) -> pa.ListArray:
+        """Token ids of each text; a null or empty text has none."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        first, last = int(offsets[0]), int(offsets[-1])
+        if first == last:
+            return pa.ListArray.from_arrays(pa.array(np.zeros(len(texts) + 1, np.int32)), pa.array([], pa.int32()))
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[first:last]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[self.cuts(data)] = True
+        edge[offsets - first] = True  # both ends of every text
+        edges = np.flatnonzero(edge)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)])
+        distinct = pieces.dictionary_encode()
+        ids = [self._ids_of(fragment) for fragment in distinct.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, sizes.sum())
+        which = distinct.indices.to_numpy(zero_copy_only=False)
+        # fragment k takes its ids from where they begin in flat
+        counts = sizes[which]
+        ends = np.cumsum(counts)
+        starts = (np.cumsum(sizes) - sizes)[which]
+        values = flat[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1])]
+        bounds = np.concatenate([[0], ends])[np.searchsorted(edges, offsets - first)]
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+
+    def ids(self, text: str | None) -> list[int]:
+        """Token ids of one text."""
+        return self.batch(pa.array([text], pa.string()))[0].as_py()
 
 
 @lru_cache(maxsize=2)
@@ -85,32 +138,13 @@ def encoder(vocabulary: str) -> ForcedBoundaryEncoder:
     return ForcedBoundaryEncoder(vocabulary)
 
 
-def _lists(lists: list[list[int]]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter((i for x in lists for i in x), np.int32, offsets[-1])))
-
-
-def _spread(df: DataFrame, row_chars: int, vocabulary: str) -> DataFrame:
-    """(row key, part, text): very long texts as several parts, cut at forced boundaries."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for part, fragment in enumerate(encoder(vocabulary).fragments(text, row_chars)):
-                    yield pa.RecordBatch.from_pydict({"key": pa.array([key], batch.schema.field(0).type), "part": pa.array([part], pa.int32()), "text": pa.array([fragment])})
-
-    kind = df.schema["key"].dataType.simpleString()
-    return df.mapInArrow(cut, f"key {kind}, part int, text string")
-
-
-def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, row_chars: int = ROW_CHARS) -> DataFrame:
+def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids, n_tokens) of every row by the tokenizer, without special tokens.
 
     Null and empty texts have the empty list; blank texts have the ids of their blanks. The strings
-    of special tokens inside a text are ordinary text. Rows with equal keys each keep their own
-    row if their texts are at most ``row_chars`` long. Other columns are not read. Texts up to
-    ``row_chars`` stay where they were read, without a shuffle; longer ones are cut at forced
-    boundaries, encoded by several tasks, and put together by key.
+    of special tokens inside a text are ordinary text. Every row, also one with a repeated or null key, keeps
+    its own row. Other columns are not read. Every text is cut at its forced boundaries, whatever its length, where it was
+    read: no text is shuffled for its size.
     """
     rows = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")))
     kind = rows.schema["key"].dataType.simpleString()
@@ -118,11 +152,6 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for batch in batches:
-            lists = [own.ids(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), _lists(lists)], [*batch.schema.names[:-1], "ids"])
-
-    long = F.coalesce(F.length("text") > row_chars, F.lit(False))
-    short = rows.where(~long).mapInArrow(run, f"key {kind}, ids array<int>")
-    parts = _spread(rows.where(long), row_chars, vocabulary).repartition("key", "part").mapInArrow(run, f"key {kind}, part int, ids array<int>")
-    whole = parts.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda p: p["ids"])).alias("ids"))
-    return short.unionByName(whole).select(F.col("key").alias(key), "ids", F.size("ids").alias("n_tokens"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), own.batch(batch.column(1))], ["key", "ids"])
+
+    return rows.mapInArrow(run, f"key {kind}, ids array<int>").select(F.col("key").alias(key), "ids", F.size("ids").alias("n_tokens"))
