@@ -10,6 +10,8 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
+CORE = {name: sql for module in entry.modules(entry.CORE) for name, sql in module.ORACLES.items()}
+RUN_ONLY = [name for module in entry.modules(entry.CORE) for name in module.QUERIES if name not in CORE]
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data here")
 
 
@@ -33,14 +35,14 @@ def plain(df):
     return sorted(tuple(map(cell, r)) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(CORE))
 def test_query_equals_sql(spark, sql, name):
     got, want = entry.queries()[name](spark, FOLDER).toPandas(), sql.execute(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert plain(got) == plain(want)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith("p")))
+@pytest.mark.parametrize("name", sorted(RUN_ONLY))
 def test_query_runs(spark, name):
     entry.queries()[name](spark, FOLDER).collect()
 

@@ -11,6 +11,7 @@ from tidemark.operators import mining, recent, routing, search
 from tidemark.operators.ingest import upsert_memories
 from tidemark.plans.durable import table
 from tidemark.queries.base import ACTIVITY, BLOCKLIST, CLIPBOARD, MEMORIES, SAID, STORED, clock, once, stored
+from tidemark.queries.oracles import oracles
 
 SEARCH_COLUMNS = (*SAID, "window_title", "app_name")
 SEARCHED = "(schedule OR budget) AND meet* NOT label"
@@ -94,7 +95,8 @@ def j13_hot_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def d11_corrections(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = _dictations(spark, folder).select(F.regexp_replace(F.lower("clean"), r"\bmeeting\b", "meting").alias("raw"), F.lower("clean").alias("clean"))
+    # each text's last word with an "e" is misheard without it
+    pairs = _dictations(spark, folder).select(F.regexp_replace(F.lower("clean"), r"(\w+)e(\w*)(\W*)\z", "$1$2$3").alias("raw"), F.lower("clean").alias("clean"))
     return mining.learned_corrections(mining.word_changes(pairs))
 
 
@@ -197,7 +199,7 @@ def j5_warm_cold(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.operators.summaries import cold_windows
 
     memories = _memories(spark, folder)
-    return search.warm_then_cold(memories, cold_windows(memories), "schedule budget", 20)
+    return search.warm_then_cold(memories, cold_windows(memories), "schedule OR budget", 40)
 
 
 def j6_semantic(spark: SparkSession, folder: str) -> DataFrame:
@@ -268,6 +270,7 @@ ORACLES = {
     "j9_search_view": STORED + _bm25_sql(_EVENTS, "event_id", _COLUMNS, {"a": "x = 'meeting'", "b": "x = 'schedule'"}, "a > 0 OR b > 0") + r"SELECT event_id, regexp_replace(substr(text_content, 1, 150), '[\r\n]+', ' ', 'g') AS snippet FROM (SELECT * FROM scored ORDER BY score DESC, event_id LIMIT 50) WHERE NOT coalesce(contains(lower(window_title), 'schedule') OR contains(lower(window_title), 'budget'), false) ORDER BY score DESC, event_id LIMIT 25",
     "j10_timeline": STORED + "SELECT event_id, strftime(make_timestamp(CAST(floor(timestamp * 1000000) AS BIGINT)), '%H:%M:%S') AS at, substr(coalesce(window_title, ''), 1, 50) AS title, TRY_CAST(p->>'$.wpm' AS DOUBLE) AS wpm, TRY_CAST(p->>'$.word_count' AS DOUBLE) AS words FROM (SELECT * FROM stored, clock WHERE timestamp > now - 7200 ORDER BY timestamp DESC, event_id DESC LIMIT 100) WHERE NOT coalesce(contains(lower(window_title), 'schedule') OR contains(lower(window_title), 'budget'), false) ORDER BY timestamp, event_id LIMIT 50",
 }
+ORACLES |= oracles(_FOLD)
 _SECRETS_SQL = "ocr_text"
 for _pattern, _instead in T.SECRETS:
     _SECRETS_SQL = f"regexp_replace({_SECRETS_SQL}, '{_pattern}', '{_instead}', 'g')"
