@@ -195,3 +195,38 @@ def test_words_of_unpointed_lines_are_whole_words(spark):
     data = [(1, said, "voice"), (2, "Please bring the marquee", "mail"), (3, "Please bring the marq", "mail")]
     got = {r["doc_id"]: r["mid_word"] for r in truncation.endings(docs(spark, data)).collect()}
     assert (got[2], got[3]) == (False, True)
+
+
+def test_recall_of_copies_cut_anywhere(spark):
+    rng = random.Random(11)
+    words = [f"word{n}" for n in range(3000)]
+    data, cut = [], set()
+    for n in range(120):
+        text = [rng.choice(words) for _ in range(rng.randrange(60, 200))]
+        for at in range(9, len(text) - 1, 10):
+            text[at] += "."
+        data.append((n, " ".join(text) + ".", "whole"))
+        # a copy with a word in fifty changed, cut in mid sentence after a third to all but a few of its words
+        share = len(text) * rng.uniform(0.33, 0.95)
+        size = max(20, int(share) // 10 * 10 + rng.randrange(2, 8))
+        part = text[: min(size, len(text) - 2)]
+        copy = [w if rng.random() > 0.02 else "other" for w in part]
+        runs = lambda x: {tuple(x[k : k + 5]) for k in range(len(x) - 4)}
+        if not part[-1].endswith(".") and len(runs(copy) & runs(text)) >= 0.8 * len(runs(copy)):
+            data.append((1000 + n, " ".join(copy), "cut"))
+            cut.add(1000 + n)
+    for n in range(30):  # longer texts that begin like one of them
+        data.append((5000 + n, data[0][1] + " " + " ".join(rng.choice(words) for _ in range(30)) + ".", "longer"))
+    got = {r["doc_id"] for r in truncation.endings(docs(spark, data)).where("early").select("doc_id").collect()}
+    assert not got - cut
+    assert len(cut) > 80
+    assert len(got) >= 0.9 * len(cut)
+
+
+def test_marks_and_signs_at_the_end_of_any_length():
+    end = lambda text: {k for k, v in truncation.ending(text)[0].items() if v}
+    assert "marked" in end("so it goes [truncated]") and "marked" in end("so it goes [" + " " * 5000 + "truncated" + " " * 5000 + "]")
+    assert "marked" in end("so it goes (text continued ...)") and "marked" not in end("so (it) goes.")
+    assert "dots" in end("and then...") and "dots" in end("and then …") and "dots" not in end("and then..")
+    assert "code_after" in end("It is done. " + "X" * 4000 + " " + "Y_" * 3000)
+    assert "closed" in end("It is done." + ")" * 3000)
