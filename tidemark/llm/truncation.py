@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +61,9 @@ BEGINNINGS = tuple(16 << n for n in range(10))
 BEGINNING_BANDS, BEGINNING_ROWS = 6, 3
 #: Rows up to which a table of buckets or of their members is broadcast; beyond it they are joined by shuffles.
 BROADCAST_ROWS = 500_000
-#: Words that a worker remembers the forms of.
-REMEMBERED = 200_000
+#: Words that a worker remembers the forms of, and characters of texts that it works on at once.
+REMEMBERED = 150_000
+CHARS_AT_ONCE = 1_500_000
 
 
 def visible(text: str) -> str:
@@ -71,7 +71,6 @@ def visible(text: str) -> str:
     return ODD_BLANKS.sub(" ", INVISIBLE.sub("", text)).replace("\r\n", "\n").replace("\r", "\n").strip()
 
 
-@lru_cache(maxsize=100_000)
 def shape(token: str) -> str:
     """A word in lower case; of names, numbers and codes only their form."""
     bare = EDGES.sub("", token)
@@ -86,7 +85,6 @@ def shape(token: str) -> str:
     return re.sub(r"(?<![A-Za-zÀ-ÿ=])[^\W\d_]+(?![A-Za-zÀ-ÿ=])", lambda m: "Aa" if not m.group().islower() else "a", form) if "=" not in form else form.lower()
 
 
-@lru_cache(maxsize=100_000)
 def mask(token: str) -> str:
     """A word as it counts for the build of a sentence: small words stay, others become '*' with their punctuation."""
     form = shape(token)
@@ -339,8 +337,21 @@ def _added(table: pa.Table) -> pa.Table:
     return counted.select(["k", "n_sum", "ended_sum", "inside_sum"]).rename_columns(["k", "n", "ended", "inside"])
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (..., text) in parts of limited length."""
     for batch in batches:
+        begin, held = 0, 0
+        for n, size in enumerate(pc.utf8_length(batch.column(batch.num_columns - 1)).to_pylist()):
+            held += size
+            if held > CHARS_AT_ONCE:
+                yield batch.slice(begin, n + 1 - begin)
+                begin, held = n + 1, 0
+        if begin < batch.num_rows:
+            yield batch.slice(begin)
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _parts(batches):
         rows, lasts, texts = [], [], []
         for doc, source, raw in zip(*(batch.column(n).to_pylist() for n in range(3))):
             text = visible(raw)
@@ -367,7 +378,7 @@ HELD_CONTEXTS = 1_000_000
 
 def _closings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.Table] = []
-    for batch in batches:
+    for batch in _parts(batches):
         lines, last_of_text = [], []
         for raw in batch.column(0).to_pylist():
             own = [words for words in (line.split() for line in visible(raw).split("\n")) if words]
