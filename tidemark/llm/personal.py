@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -68,8 +69,17 @@ ADDRESSES = [
     re.compile(r"(?<!\w)(?P<n>[A-ZÄÖÜ][\wäöüß]+\s(?i:straße|strasse|str\.|weg|gasse|platz|allee)\s+\d{1,4}\s?[a-z]?)(?!\w)"),
 ]
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-NAME_BEFORE = re.compile(rf"(?i)(?:^|\W)(?P<honorific>(?:{HONORIFICS})\.?\s+)$|(?:^|\W)(?P<greeting>(?:{GREETINGS})\b[\s:,.]*)$|(?:^|\W)(?P<key>(?:name|contact|author|user|owner|signed|kontakt|nom|nombre)[\"']?\s?[=:]\s?[\"']?)$")
-INITIAL = re.compile(r"(?:^|[^\w.@])[A-ZÀ-ÖØ-Þ]\s?\.\s*$")
+#: What stands before a name, up to where the name begins: slot h an honorific, g a greeting, k a key, i an initial.
+SLOTS = {
+    "i": re.compile(r"(?<![\w.@])[A-ZÀ-ÖØ-Þ]\s?\.\s*"),
+    "k": re.compile(r"(?i)(?<!\w)(?:name|contact|author|user|owner|signed|kontakt|nom|nombre)[\"']?\s?[=:]\s?[\"']?"),
+    "g": re.compile(rf"(?i)(?<!\w)(?:{GREETINGS})\b[\s:,.]*"),
+    "h": re.compile(rf"(?i)(?<!\w)(?:{HONORIFICS})\.?\s+"),
+}
+#: Every identity or phone number holds five digits close to each other; every link, handle and path one of these signs.
+MAY_HOLD_NUMBER = re.compile(r"[\dO](?:[\W_]{0,6}[\dOIl]){4}")
+MAY_HOLD_LINK = re.compile(r"[/\\@_]|www\.", re.IGNORECASE)
+DIGITS = re.compile(r"\d")
 GAP = re.compile(r"^(?:[ \t\xa0]{1,2}|\s?,\s|[-–]|\s[A-ZÀ-ÖØ-Þ]\s?\.\s*)$")
 
 
@@ -94,10 +104,6 @@ def names_a_thing(before: str) -> bool:
     return before.rstrip().endswith(("#", "ORD-")) or bool(re.search(r"(?i)[A-Z]{2,}-$", before))
 
 
-def _blank(text: str, begin: int, end: int) -> str:
-    return text[:begin] + "\x00" * (end - begin) + text[end:]
-
-
 def _blank_all(text: str, spans: list[tuple[int, int, str]]) -> str:
     """The text with the spans of one pattern, which come in order, blanked out."""
     parts, at = [], 0
@@ -117,14 +123,14 @@ def structured(text: str) -> tuple[list[tuple[int, int, str]], str]:
                 continue
             spans.append((m.start(), m.end("domain"), "email"))
         rest = _blank_all(rest, spans)
-    for m in LINK.finditer(rest):
-        if m.end() - m.start() > 2:
-            rest = _blank(rest, m.start(), m.end())
-    for n, pattern in enumerate(IDS):
+    if MAY_HOLD_LINK.search(rest):
+        rest = _blank_all(rest, [(m.start(), m.end(), "") for m in LINK.finditer(rest) if m.end() - m.start() > 2])
+    numbers = MAY_HOLD_NUMBER.search(rest) is not None
+    for n, pattern in enumerate(IDS if numbers else ()):
         start = len(spans)
         for m in pattern.finditer(rest):
             b, e = m.span("n")
-            before = rest[:b]
+            before = rest[max(0, b - 40) : b]
             if n == 0:
                 if _digits(m["n"]) < 5:
                     continue
@@ -132,7 +138,7 @@ def structured(text: str) -> tuple[list[tuple[int, int, str]], str]:
                 continue
             spans.append((b, e, "id_number"))
         rest = _blank_all(rest, spans[start:])
-    for n, pattern in enumerate(PHONES):
+    for n, pattern in enumerate(PHONES if numbers else ()):
         start = len(spans)
         for m in pattern.finditer(rest):
             b, e = m.span("n")
@@ -144,11 +150,11 @@ def structured(text: str) -> tuple[list[tuple[int, int, str]], str]:
                 continue
             spans.append((b, e, "phone"))
         rest = _blank_all(rest, spans[start:])
-    for n, pattern in enumerate(ADDRESSES):
+    for n, pattern in enumerate(ADDRESSES if DIGITS.search(rest) else ()):
         start = len(spans)
         for m in pattern.finditer(rest):
             b, e = m.span("n")
-            if n == 0 and re.search(r"(?i)\bof\s*$", rest[:b]):
+            if n == 0 and re.search(r"(?i)\bof\s*$", rest[max(0, b - 40) : b]):
                 continue
             if n == 0 and m["street"].islower() and not m["name"].istitle():
                 continue
@@ -159,16 +165,14 @@ def structured(text: str) -> tuple[list[tuple[int, int, str]], str]:
 
 def name_terms(rest: str) -> list[tuple[int, int, str, str]]:
     """Words that may be names: (begin, end, term, slot); slot: 'h' honorific, 'g' greeting, 'k' key, 'i' initial, '' none."""
+    # where each slot ends a name may begin; the stronger slot counts
+    slots = {m.end(): slot for slot, pattern in SLOTS.items() for m in pattern.finditer(rest)}
     out = []
     for m in WORD.finditer(rest):
-        word = m.group()
-        if len(word) < 2:
-            continue
-        before = rest[max(0, m.start() - 24) : m.start()]
-        slot = NAME_BEFORE.search(before)
-        kind = "h" if slot and slot["honorific"] else "g" if slot and slot["greeting"] else "k" if slot and slot["key"] else "i" if INITIAL.search(before) else ""
-        if word[0].isupper() or kind == "k":
-            out.append((m.start(), m.end(), word.lower(), kind))
+        begin, end = m.span()
+        slot = slots.get(begin, "")
+        if end - begin > 1 and (rest[begin].isupper() or slot == "k"):
+            out.append((begin, end, m.group().lower(), slot))
     return out
 
 
@@ -194,7 +198,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(2).to_pylist():
             found, rest = structured(text)
             possible = name_terms(rest)
-            counts.update(w.lower() for w in WORD.findall(rest))
+            counts.update(WORD.findall(rest.lower()))
             possible_names = [t for t in possible if not NOT_A_NAME.fullmatch(t[2])]
             near = [("<" + t[3] + ">", t[2]) for t in possible_names if t[3] in ("h", "i", "k")]
             near += [(x[2], y[2]) for x, y in zip(possible_names, possible_names[1:]) if y[0] - x[1] <= 6 and GAP.match(rest[x[1] : y[0]])]
@@ -221,7 +225,7 @@ def scan_texts(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
 
 
 def disclosure(scanned: DataFrame, known: DataFrame, rounds: int = 2) -> DataFrame:
-    """(term, n, a, known): how strongly a term reveals that a person is named, from the whole corpus.
+    """(term, n, a, known, bits, strong): how strongly a term reveals that a person is named, from the whole corpus.
 
     Of a term's n occurrences, a stand beside a name, an initial, an honorific or a name key. The
     first round counts beside the known names, the next also beside terms learned before.
@@ -238,25 +242,33 @@ def disclosure(scanned: DataFrame, known: DataFrame, rounds: int = 2) -> DataFra
         near = beside.groupBy("term").agg(F.sum("n").alias("a"))
         scored = total.join(near, "term", "left").join(listed, "term", "left").where("a is not null or known")
         scored = scored.select("term", "n", F.least("n", F.coalesce("a", F.lit(0))).alias("a"), F.coalesce("known", F.lit(False)).alias("known"))
-        seeds = scored.where(STRONG).select(F.col("term").alias("other"))
+        scored = with_bits(scored)
+        seeds = scored.where("strong").select(F.col("term").alias("other"))
     return scored
 
 
-def disclosure_bits(scored: DataFrame) -> DataFrame:
-    """(term, n, a, bits, strong): the pointwise information of a term about a person being named, log2 of its share beside names over that of all scored terms."""
-    share = scored.agg(F.sum("a").alias("a"), F.sum("n").alias("n")).first()
-    prior = max(share["a"] or 0, 1) / max(share["n"] or 0, 1)
-    return scored.select("term", "n", "a", F.log2(F.greatest(F.col("a") / F.col("n"), F.lit(1e-9)) / prior).alias("bits"), F.expr(STRONG).alias("strong"))
+#: Disclosure thresholds in bits: a term reveals a person by itself where that is as likely as not; a listed name needs odds of 3 to 7.
+REVEALS = 0.0
+LISTED_REVEALS = math.log2(0.3 / 0.7)
+#: A listed name seen less often than this reveals a person whatever stands beside it.
+RARE = 3
 
 
-#: Disclosure thresholds: a term reveals a person by itself from here on; a listed name needs less.
-STRONG = "(a / (n + 1) >= 0.5) or (known and (a / n >= 0.3 or n < 3))"
+def with_bits(scored: DataFrame) -> DataFrame:
+    """(term, n, a, known, bits, strong): the odds, in bits, that a term names a person where it stands, and whether they reach the threshold.
+
+    Of n occurrences a are beside names; a term that is no listed name counts one occurrence more elsewhere.
+    """
+    elsewhere = F.col("n") - F.col("a") + F.when(F.col("known"), 0).otherwise(1)
+    bits = F.log2(F.greatest(F.col("a"), F.lit(1e-9)) / F.greatest(elsewhere, F.lit(1e-9)))
+    strong = (F.col("bits") >= REVEALS - 1e-12) | (F.col("known") & ((F.col("bits") >= LISTED_REVEALS - 1e-12) | (F.col("n") < RARE)))
+    return scored.withColumn("bits", bits).withColumn("strong", strong)
 
 
 def _detected(tables: dict[str, tuple[DataFrame, str, str]], known: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = scan_texts(tables)
     scanned = durable(texts.mapInArrow(_scan, _RECORD))
-    lexicon = disclosure(scanned, known).select("term", "known", F.expr(STRONG).alias("strong"))
+    lexicon = disclosure(scanned, known).select("term", "known", "strong")
     records = scanned.where("tbl is not null")
     terms = records.select("tbl", "rec_id", F.explode("terms").alias("t")).select("tbl", "rec_id", "t.*")
     in_slot = terms.join(lexicon, "term", "left").where("strong or slot = 'h' or (known and slot in ('g', 'i', 'k'))")
@@ -299,7 +311,7 @@ def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def revealing_terms(tables: dict[str, tuple[DataFrame, str, str]], known: DataFrame) -> DataFrame:
     """(term, n, a, bits, strong): every scored term with its disclosure in bits and whether it is above the threshold."""
-    return disclosure_bits(durable(disclosure(durable(scan_texts(tables).mapInArrow(_scan, _RECORD)), known)))
+    return disclosure(durable(scan_texts(tables).mapInArrow(_scan, _RECORD)), known).select("term", "n", "a", "bits", "strong")
 
 
 def redacted_texts(tables: dict[str, tuple[DataFrame, str, str]], known: DataFrame) -> DataFrame:
