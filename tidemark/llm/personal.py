@@ -79,6 +79,7 @@ SLOTS = {
 #: Every identity or phone number holds five digits close to each other; every link, handle and path one of these signs.
 MAY_HOLD_NUMBER = re.compile(r"[\dO](?:[\W_]{0,6}[\dOIl]){4}")
 MAY_HOLD_LINK = re.compile(r"[/\\@_]|www\.", re.IGNORECASE)
+UNBROKEN = re.compile(r"\S+")
 DIGITS = re.compile(r"\d")
 GAP = re.compile(r"^(?:[ \t\xa0]{1,2}|\s?,\s|[-–]|\s[A-ZÀ-ÖØ-Þ]\s?\.\s*)$")
 
@@ -124,7 +125,9 @@ def structured(text: str) -> tuple[list[tuple[int, int, str]], str]:
             spans.append((m.start(), m.end("domain"), "email"))
         rest = _blank_all(rest, spans)
     if MAY_HOLD_LINK.search(rest):
-        rest = _blank_all(rest, [(m.start(), m.end(), "") for m in LINK.finditer(rest) if m.end() - m.start() > 2])
+        # none of them goes over a blank, so only what stands between two and holds a sign is looked at
+        signed = (t.span() for t in UNBROKEN.finditer(rest) if MAY_HOLD_LINK.search(t.group()))
+        rest = _blank_all(rest, [(m.start(), m.end(), "") for begin, end in signed for m in LINK.finditer(rest, begin, end) if m.end() - m.start() > 2])
     numbers = MAY_HOLD_NUMBER.search(rest) is not None
     for n, pattern in enumerate(IDS if numbers else ()):
         start = len(spans)
