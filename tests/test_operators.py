@@ -1,4 +1,5 @@
 import math
+import random
 
 from tests.conftest import rows
 from pyspark.sql import functions as F
@@ -287,3 +288,26 @@ def test_text_queries_take_every_feed(spark, tmp_path):
     cleaned = {r["doc_id"]: r["clean"] for r in entry.queries()["i20_cleaned"](spark, str(tmp_path)).collect()}
     assert set(cleaned) == {1, 2, 3, 4} and len(set(cleaned.values())) == 1
     assert {r["doc_id"]: r["text"] for r in entry.queries()["i27_vocabulary"](spark, str(tmp_path)).collect()} == dict.fromkeys((1, 2, 3, 4), "THE Budget$")
+
+
+def test_debounce_spreads_one_group_over_all_cores(spark):
+    rng = random.Random(8)
+    for step in (0.4, 3.0):  # without any pause, and with some
+        times = sorted(round(rng.uniform(0, step * 3000), 3) for _ in range(3000))
+        data = [(n, "one", t) for n, t in enumerate(times)] + [(9000 + n, "two", t) for n, t in enumerate(times[:50])]
+        df = spark.createDataFrame(data, "id bigint, g string, timestamp double").repartition(5)
+        want, last = set(), {}
+        for n, g, t in sorted(data, key=lambda r: (r[1], r[2], r[0])):
+            if t >= last.get(g, float("-inf")) + 5.0:
+                last[g] = t
+                want.add(n)
+        got = changes.debounced(df, "g", 5.0)
+        assert {r["id"] for r in got.collect()} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        tasks = df.where("g = 'one'").repartitionByRange("g", "timestamp", "id").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks == 4  # all of one group
+        assert {r["id"] for r in changes.debounced(df, "g", 5.0).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert changes.debounced(df.limit(0), "g", 5.0).count() == 0

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import greedy_in_order, runs_in_order
+
+
 def drop_repeats(df: DataFrame, value: str, group: str, *order: str) -> DataFrame:
     """Rows whose value differs from the row before in their group; the first row stays, null counts as a value."""
     window = Window.partitionBy(group).orderBy(*order)
@@ -42,38 +45,14 @@ def drags(df: DataFrame, min_pixels: float = 20.0) -> DataFrame:
     return pressed.where(F.col("distance") > min_pixels).select("id", "distance", ((F.col("next_timestamp") - F.col("timestamp")) * 1000).cast("bigint").alias("duration_ms"))
 
 
-def _accept(times: np.ndarray, gap: float, last: float) -> tuple[np.ndarray, float]:
-    """Greedy over sorted times: accepted if at least ``gap`` after the last accepted one; also gives that one for what follows."""
-    out = np.zeros(len(times), bool)
-    at = int(np.searchsorted(times, last + gap, side="left"))
-    while at < len(times):
-        out[at] = True
-        last = times[at]
-        at = int(np.searchsorted(times, last + gap, side="left"))
-    return out, last
-
-
 def debounced(df: DataFrame, group: str, gap: float, time: str = "timestamp", key: str = "id") -> DataFrame:
     """Rows of each group that are at least ``gap`` seconds after the last accepted one, with all columns.
 
-    One pass over rows sorted by group, time and key that remembers a single time; no group is ever
-    held in memory. Rows with a null group, key or unusable time are left out. Equal times: smaller key first.
+    Rows are scanned by ranges, so a group that holds all rows is spread over all cores. Rows with a null group, key or unusable
+    time are left out. Equal times: smaller key first.
     """
     rows = df.where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col(time).isNotNull() & ~F.isnan(time))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, -np.inf
-        for pdf in batches:
-            names, times = pdf[group].to_numpy(), pdf[time].to_numpy(float)
-            begins = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(pdf) else np.array([], int)
-            keep = np.zeros(len(pdf), bool)
-            for begin, end in zip(begins, np.append(begins[1:], len(pdf))):
-                if names[begin] != current:
-                    current, last = names[begin], -np.inf
-                keep[begin:end], last = _accept(times[begin:end], gap, last)
-            yield pdf[keep]
-
-    return rows.repartition(group).sortWithinPartitions(group, time, key).mapInPandas(scan, rows.schema)
+    return greedy_in_order(rows, group, time, key, gap)
 
 
 MAX_CLIP_CHARS = 10_000
@@ -88,7 +67,9 @@ def stored_clips(df: DataFrame, gap: float = 1.0, min_chars: int = 5) -> DataFra
     """
     looked = debounced(df.where("text <> ''").withColumn("__all", F.lit(0)), "__all", gap).drop("__all")
     trimmed = looked.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).where(F.length("text") >= min_chars)
-    kept = drop_repeats(trimmed.withColumn("__all", F.lit(0)), "text", "__all", "timestamp", "id")
+    # each run of one text is stored once, by its first row
+    runs = runs_in_order(trimmed, F.lit(""), F.sha2("text", 256), F.round(F.col("timestamp") * 1e6).cast("bigint"), F.col("id"), 1 << 62)
+    kept = trimmed.join(runs.select(F.col("first_id").alias("id")), "id", "left_semi")
     text = F.when(F.length("text") > MAX_CLIP_CHARS, F.concat(F.substring("text", 1, MAX_CLIP_CHARS), F.lit(CLIP_SUFFIX))).otherwise(F.col("text"))
     return kept.select("id", "timestamp", text.alias("text"))
 

@@ -7,7 +7,7 @@ inside a run.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -113,17 +113,35 @@ def run_lengths(starts: np.ndarray, rows: int) -> np.ndarray:
 
 
 def runs_in_order(
-    df: DataFrame, stream: Column, subject: Column, micros: Column, row_id: Column, gap_us: int, aggregate: Callable[[np.ndarray, int], np.ndarray] = run_lengths
+    df: DataFrame,
+    stream: Column,
+    subject: Column,
+    micros: Column,
+    row_id: Column,
+    gap_us: int,
+    aggregate: Callable[[np.ndarray, int], np.ndarray] = run_lengths,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
     """Maximal runs of rows of one stream and subject whose neighbours are at most ``gap_us`` apart.
 
     Order is time, then id. Rows without time or id take no part. Result: stream, subject,
-    first_id, last_id, start_us, end_us, n.
+    first_id, last_id, start_us, end_us, n. With ``carried``, the columns that ``subject`` is made of,
+    it is computed behind the exchange, once; otherwise the sampling of the ranges computes it too.
     """
-    rows = df.select(stream.alias("stream"), subject.alias("subject"), micros.alias("us"), row_id.alias("id")).where("us is not null and id is not null")
+    usable = "us is not null and id is not null"
+    if carried:
+        raw = df.select(stream.alias("__stream"), micros.alias("__us"), row_id.alias("__id"), *carried).where("__us is not null and __id is not null")
+        keys = ["__stream", "__us", "__id", *carried]
+        kind = raw.schema["__id"].dataType.simpleString()
+        placed = raw.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.col("__stream").alias("stream"), subject.alias("subject"), F.col("__us").alias("us"), F.col("__id").alias("id"))
+        return _scanned(placed, kind, gap_us, aggregate)
+    rows = df.select(stream.alias("stream"), subject.alias("subject"), micros.alias("us"), row_id.alias("id")).where(usable)
     kind = rows.schema["id"].dataType.simpleString()
     order = ["stream", "us", "id", "subject"]
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return _scanned(rows.repartitionByRange(*order).sortWithinPartitions(*order), kind, gap_us, aggregate)
+
+
+def _scanned(placed: DataFrame, kind: str, gap_us: int, aggregate: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
     parts = durable(placed.mapInArrow(fragment_scan(gap_us, aggregate), FRAGMENT.format(id=kind)))
     whole = parts.where("not head and not tail").drop("head", "tail")
     return whole.unionByName(_stitched(parts.where("head or tail"), gap_us))
@@ -142,3 +160,72 @@ def _stitched(edges: DataFrame, gap_us: int) -> DataFrame:
         F.max("end_us").alias("end_us"),
         F.sum("n").alias("n"),
     ).drop("run")
+
+
+def greedy_in_order(df: DataFrame, group: str, time: str, key: str, gap: float) -> DataFrame:
+    """Rows at least ``gap`` after the last accepted row of their group, in order of time, then key; all columns stay.
+
+    The rule looks back to the last accepted row, but a row that comes a whole gap after the row before it is accepted
+    whatever was accepted before. Rows are cut into ranges of (group, time, key); a range decides
+    about everything from its first such row on by itself, on all cores. What stands before that row waits for the range before it:
+    those rows, and the last accepted time of each range, meet in a second pass, in which a chain of
+    ranges without any pause is scanned in one task. Rows must have group, time and key.
+    """
+    order = [group, time, key]
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    columns = df.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId()
+        current, before, last, loose, first = None, -np.inf, -np.inf, True, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, times = batch.column(batch.schema.get_field_index(group)).to_pylist(), batch.column(batch.schema.get_field_index(time)).to_numpy(zero_copy_only=False)
+            keep, waits = np.zeros(len(times), bool), np.zeros(len(times), bool)
+            for n, (name, at) in enumerate(zip(names, times)):
+                if loose and not (first and n == 0) and (name != current or at - before >= gap):
+                    loose = False
+                    last = -np.inf
+                if name != current:
+                    last = -np.inf
+                current, before = name, at
+                if loose:
+                    waits[n] = True
+                elif at >= last + gap:
+                    keep[n], last = True, at
+            first = False
+            chosen = pa.array(np.flatnonzero(keep | waits))
+            part = batch.take(chosen)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(chosen), number)), pa.array(waits[chosen.to_numpy()])], [*batch.schema.names, "__range", "__waits"])
+
+    parts = durable(placed.mapInArrow(first_pass, f"{fields}, __range bigint, __waits boolean"))
+    # one row for each range: does it hold a decided row, and its last accepted one
+    ends = parts.groupBy("__range").agg(F.count_if(~F.col("__waits")).alias("decided"), F.max(F.when(~F.col("__waits"), F.struct(group, time))).alias("last"))
+    before = Window.orderBy("__range")
+    chains = ends.select(
+        "__range",
+        F.coalesce(F.max(F.when(F.col("decided") > 0, F.col("__range"))).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)).alias("__chain"),
+        F.last(F.when(F.col("decided") > 0, F.col("last")), True).over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("__last"),
+    )
+    waiting = parts.where("__waits").join(chains, "__range").withColumn("__from_group", F.col(f"__last.{group}")).withColumn("__from", F.col(f"__last.{time}")).drop("__last", "__waits", "__range")
+
+    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, current, last = None, None, -np.inf
+        for batch in batches:
+            column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: B023, E731
+            keep = np.zeros(batch.num_rows, bool)
+            for n, (own, name, at, from_group, start) in enumerate(zip(*map(column, ("__chain", group, time, "__from_group", "__from")))):
+                if own != chain:
+                    chain, current, last = own, from_group, -np.inf if start is None else start
+                if name != current:
+                    current, last = name, -np.inf
+                if at >= last + gap:
+                    keep[n], last = True, at
+            yield batch.filter(pa.array(keep)).select(columns)
+
+    late = waiting.repartition("__chain").sortWithinPartitions("__chain", *order).mapInArrow(second_pass, fields)
+    return parts.where("not __waits").select(*columns).unionByName(late)
