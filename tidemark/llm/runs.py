@@ -56,8 +56,9 @@ def window_runs(activity: DataFrame, gap_seconds: float = 600.0) -> DataFrame:
     monitor_index, app_name, subject, first_id, last_id, start_time, end_time, duration_seconds, n_captures.
     """
     app, subject = app_key(F.col("app_name")), title_subject(F.col("window_title"))
-    named = activity.select("id", F.col("monitor_index").cast("string").alias("m"), epoch_micros(F.col("timestamp")).alias("us"), F.concat_ws("\x1f", app, subject).alias("shown"))
-    runs = runs_in_order(named, F.coalesce("m", F.lit("")), F.col("shown"), F.col("us"), F.col("id"), round(gap_seconds * 1e6), boundary_lookup)
+    monitor = F.coalesce(F.col("monitor_index").cast("string"), F.lit(""))
+    shown = F.concat_ws("\x1f", app, subject)
+    runs = runs_in_order(activity, monitor, shown, epoch_micros(F.col("timestamp")), F.col("id"), round(gap_seconds * 1e6), boundary_lookup, ("app_name", "window_title"))
     shown = F.split("subject", "\x1f")
     return runs.select(
         F.when(F.col("stream") != "", F.col("stream")).cast("int").alias("monitor_index"),
