@@ -311,3 +311,24 @@ def test_debounce_spreads_one_group_over_all_cores(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert changes.debounced(df.limit(0), "g", 5.0).count() == 0
+
+
+def test_bounded_queue_and_tails(spark):
+    from tidemark.operators import queues
+
+    rng = random.Random(5)
+    data = [(n, g, round(rng.uniform(0, 400), 2)) for n in range(300) for g in ("a", "b") if g == "a" or n % 9 == 0]
+    want = {}
+    for g in "ab":
+        busy = float("-inf")
+        for n, _, t in sorted((r for r in data if r[1] == g), key=lambda r: (r[2], r[0])):
+            want[g, n] = busy - t <= 10 * 3.0
+            if want[g, n]:
+                busy = max(busy, t) + 3.0
+    df = spark.createDataFrame([*data, (999, None, 1.0), (998, "a", None)], "id bigint, g string, timestamp double")
+    got = {(r["g"], r["id"]): r["accepted"] for r in queues.bounded_queue(df, "g", 3.0).collect()}
+    assert got == want and not all(want.values())
+    frames = [("x", 0.0, 9.0), ("x", 1.0, 0.1), ("x", 2.0, 9.0), ("x", 3.0, 0.1), ("x", 4.0, None), ("x", 5.0, 0.1), ("x", 7.0, 0.1), ("y", 0.0, 9.0), (None, 0.0, 0.0)]
+    ends = {r["s"]: (r["ended_at"], r["silent"]) for r in queues.tail_ends(spark.createDataFrame(frames, "s string, timestamp double, rms double"), "s", 1.0, 2.0, 30.0).collect()}
+    assert ends == {"x": (7.0, True), "y": (30.0, False)}
+    assert queues.bounded_queue(df.limit(0), "g", 3.0).count() == 0

@@ -87,3 +87,31 @@ def test_stream_sessions_rollup_and_debounce(spark, tmp_path):
     assert sum(r[0] for r in got) == 4
     got = drained(spark, S.stream_debounced(source, "modality", 200.0), "debounce_out").select("event_id").collect()
     assert sorted(r[0] for r in got) == ["e0", "e2", "e4"]
+
+
+def test_journal_program(tmp_path):
+    from tidemark.sources.files import run_journal
+
+    done = run_journal([("p", "note")], ["sh", "-c", "cat; echo $0"])
+    assert done == [("p", True, "notep")]
+    failed = run_journal([("p", "note"), ("q", "note")], ["sh", "-c", "echo no >&2; exit 3"])
+    assert [r[1] for r in failed] == [False, False] and failed[0][2] == "no"
+    assert run_journal([("p", "x")], ["sh", "-c", "sleep 5"], timeout=0.2)[0][1:] == (False, "no answer within 0.2 s")
+    assert run_journal([("p", "x")], ["/no/such/program"])[0][1] is False
+
+
+def test_event_store_keeps_the_first_delivery_and_reads_few_days(spark, tmp_path, capsys):
+    from tidemark.sources.files import EventStore
+
+    schema = "event_id string, timestamp double, modality string, event_type string, app_name string, window_title string, monitor_index int, payload string, created_at double"
+    row = lambda i, t, p, c: (i, t, "sight", "click", "A", "T", 0, p, c)
+    day = 86_400.0
+    store = EventStore(spark, str(tmp_path / "events"))
+    store.append(spark.createDataFrame([row("a", 5 * day, "1", 2.0), row("a", 5 * day, "0", 1.0), row("b", 7 * day, "1", 1.0), row("", 7 * day, "1", 1.0)], schema), 9 * day)
+    store.append(spark.createDataFrame([row("a", 5 * day, "2", 3.0), row("c", 6 * day, "1", 1.0), row("d", 99 * day, "1", 1.0)], schema), 9 * day)
+    assert sorted((r["event_id"], r["payload"]) for r in store.read().collect()) == [("a", "0"), ("b", "1"), ("c", "1")]
+    some = store.read(since=6 * day, modality="sight")
+    assert sorted(r["event_id"] for r in some.collect()) == ["b", "c"]
+    some.explain("formatted")
+    filters = next(line for line in capsys.readouterr().out.splitlines() if line.startswith("PartitionFilters"))
+    assert "day" in filters and "modality" in filters

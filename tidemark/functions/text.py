@@ -46,6 +46,12 @@ SECRETS = [
     (r"(?i)(?:mysql|postgres|mongodb|redis)://\S+:\S+@", "[REDACTED:CONN_STRING]://***:***@"),
     (r"(?i)bearer\s+[a-zA-Z0-9_.-]{20,}", "[REDACTED:BEARER]"),
 ]
+# How former names are told of, and names in quotation marks.
+FORMER = (r"(?i)(?:formerly|previously|renamed from|was)\s+(\w+)", r"(?i)\((?:was|née|aka)\s+(\w+)\)")
+QUOTED = r"[\"']([A-Z][a-zA-Z]{4,})[\"']"
+# What is tidied after spoken punctuation, before and after "..." is put back.
+DOUBLED_SIGNS = ((r"[,;]+([.!?:;\n])", "$1"), (r"([!?])[.,]+", "$1"), (r"\.([!?])", "$1"), (r"([.!?])[.,;:]+", "$1"), (r"([.!?:;,]) +([.!?:;,])", "$2"))
+SPACING = ((r"([.!?:;,])([A-Za-z])", "$1 $2"), (r"(\() ", "$1"), (r"\s+$", ""), (r"^ +", ""), (r"\n ", "\n"))
 # Words that mark a change of style, not of hearing.
 STYLE_WORDS = "pretty cool great nice good awesome amazing yeah yep yup yes nope no nah kinda gonna wanna gotta lemme okay ok alright sure right just really very quite totally raw cleaned".split()
 
@@ -105,7 +111,7 @@ def domains(text: Column) -> Column:
 
 def aliases(text: Column) -> Column:
     """Former names a text tells of."""
-    return F.array_distinct(F.concat(_all(text, r"(?i)(?:formerly|previously|renamed from|was)\s+(\w+)"), _all(text, r"(?i)\((?:was|née|aka)\s+(\w+)\)")))
+    return F.array_distinct(F.concat(*(_all(text, pattern) for pattern in FORMER)))
 
 
 def redacted(text: Column) -> Column:
@@ -165,10 +171,10 @@ def punctuated(text: Column) -> Column:
     for word, sign in sorted(PUNCTUATION.items(), key=lambda x: -len(x[0])):
         t = F.regexp_replace(t, rf"(?i)[,;:.!?\s]*\b{word}\b[,;:.!?]*", sign)
     t = F.replace(t, F.lit("..."), F.lit("\x01"))
-    for pattern, sign in ((r"[,;]+([.!?:;\n])", "$1"), (r"([!?])[.,]+", "$1"), (r"\.([!?])", "$1"), (r"([.!?])[.,;:]+", "$1"), (r"([.!?:;,]) +([.!?:;,])", "$2")):
+    for pattern, sign in DOUBLED_SIGNS:
         t = F.regexp_replace(t, pattern, sign)
     t = F.replace(t, F.lit("\x01"), F.lit("..."))
-    for pattern, sign in ((r"([.!?:;,])([A-Za-z])", "$1 $2"), (r"(\() ", "$1"), (r"\s+$", ""), (r"^ +", ""), (r"\n ", "\n")):
+    for pattern, sign in SPACING:
         t = F.regexp_replace(t, pattern, sign)
     return t
 
@@ -228,4 +234,4 @@ def audio_seconds(n_bytes: Column) -> Column:
 def context_names(text: Column, chars: int = 2000) -> Column:
     """Compound names of six letters or more and quoted capitalised names of five or more in the beginning of a text, once each."""
     head = F.substring(text, 1, chars)
-    return F.array_distinct(F.concat(camel_words(head, MIN_PHRASE), _all(head, r"[\"']([A-Z][a-zA-Z]{4,})[\"']")))
+    return F.array_distinct(F.concat(camel_words(head, MIN_PHRASE), _all(head, QUOTED)))

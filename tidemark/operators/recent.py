@@ -16,6 +16,12 @@ def clamp(name: str, value: float) -> float:
     return max(low, min(high, value))
 
 
+def clamped(name: str, value: Column) -> Column:
+    """As clamp, for a column of arguments; null stays null."""
+    low, high = LIMITS[name]
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
+
+
 def newest(df: DataFrame, limit: int, time: str = "timestamp", key: str = "event_id") -> DataFrame:
     """The newest rows, ties by key descending: a top-k without a sort of the table. Rows without time come last."""
     return df.orderBy(F.desc_nulls_last(time), F.desc(key)).limit(limit)

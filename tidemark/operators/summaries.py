@@ -154,3 +154,9 @@ def confidence_histogram(rows: DataFrame, value: str, width: float = 0.1) -> Dat
 def pass_rates(results: DataFrame, group: str, passed: Column) -> DataFrame:
     """(group, passed, total) of check results; a null result is no pass."""
     return results.groupBy(group).agg(F.count_if(F.coalesce(passed, F.lit(False))).alias("passed"), F.count("*").alias("total"))
+
+
+def app_means(rows: DataFrame, *values: str) -> DataFrame:
+    """(app_name, n, mean_<value>...) of a benchmark: means for each app, missing apps as 'unknown'; null and NaN do not count."""
+    app = F.coalesce(F.nullif("app_name", F.lit("")), F.lit("unknown")).alias("app_name")
+    return rows.groupBy(app).agg(F.count("*").alias("n"), *(F.avg(F.when(~F.isnan(v), F.col(v))).alias(f"mean_{v}") for v in values))

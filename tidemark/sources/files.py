@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import subprocess
+from collections.abc import Iterable, Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.ingest import stored_events
+
+# Fixed value: seconds a journal program may take.
+JOURNAL_TIMEOUT = 10.0
+# Phrases that are no vocabulary.
+SKIPPED_PHRASES = ("personal finance", "stock market", "tax prep", "death planning", "island model", "screen context")
 # Folders that are no projects.
 SKIPPED = ("_PROJECT_TEMPLATE", ".git", "__pycache__", "node_modules", ".venv")
 CONTEXT_FILE = "PROJECT_CONTEXT.md"
@@ -66,11 +76,65 @@ def append_journal(insights: DataFrame, path: str) -> None:
     insights.write.mode("append").partitionBy("project").parquet(path)
 
 
+def run_journal(insights: Iterable[tuple[str, str]], command: Sequence[str], timeout: float = JOURNAL_TIMEOUT) -> list[tuple[str, bool, str]]:
+    """Hand each insight (project, text) to a journal program on its standard input: (project, done, message) for each.
+
+    A program that is missing, fails or takes longer than the timeout gives a failure with its reason; the others go on.
+    """
+    out = []
+    for project, text in insights:
+        try:
+            done = subprocess.run([*command, project], input=text, text=True, capture_output=True, timeout=timeout, check=False)
+            out.append((project, done.returncode == 0, (done.stdout if done.returncode == 0 else done.stderr).strip()))
+        except subprocess.TimeoutExpired:
+            out.append((project, False, f"no answer within {timeout:g} s"))
+        except OSError as error:
+            out.append((project, False, str(error)))
+    return out
+
+
+def _by_day(rows: DataFrame) -> DataFrame:
+    return rows.where("timestamp is not null and not isnan(timestamp)").withColumn("day", F.to_date(F.timestamp_seconds("timestamp")))
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """Add events to the log, by day and modality, sorted by time inside a file so that time filters skip row groups. Rows without a usable time belong into the quarantine."""
-    day = F.to_date(F.timestamp_seconds("timestamp"))
-    rows = events.where("timestamp is not null and not isnan(timestamp)").withColumn("day", day)
-    rows.repartition("day", "modality").sortWithinPartitions("timestamp").write.mode("append").partitionBy("day", "modality").parquet(path)
+    _by_day(events).repartition("day", "modality").sortWithinPartitions("timestamp").write.mode("append").partitionBy("day", "modality").parquet(path)
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Add clipboard rows or tool calls to their log, by day, sorted by time. Rows without a usable time are left out."""
+    _by_day(rows).repartition("day").sortWithinPartitions("timestamp").write.mode("append").partitionBy("day").parquet(path)
+
+
+class EventStore:
+    """The event log on disk: valid events, each id once, by day and modality.
+
+    Redelivered events keep their day and modality, so new deliveries are only compared with the stored days they touch.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def append(self, deliveries: DataFrame, as_of: float) -> None:
+        """Validate deliveries and add the first of each id that is not stored yet."""
+        fresh = stored_events(deliveries, as_of)
+        try:
+            there = self.spark.read.parquet(self.path)
+        except AnalysisException:  # nothing stored yet
+            append_events(fresh, self.path)
+            return
+        days = _by_day(fresh).agg(F.min("day").alias("low"), F.max("day").alias("high")).first()
+        if days["low"] is not None:
+            append_events(fresh.join(there.where(F.col("day").between(days["low"], days["high"])).select("event_id"), "event_id", "left_anti"), self.path)
+
+    def read(self, since: float | None = None, until: float | None = None, modality: str | None = None) -> DataFrame:
+        """Stored events between two times (both in) and of a modality: only the days and modalities asked for are read."""
+        rows = self.spark.read.parquet(self.path)
+        day = lambda t: F.to_date(F.timestamp_seconds(F.lit(t)))
+        rows = rows if since is None else rows.where((F.col("day") >= day(since)) & (F.col("timestamp") >= since))
+        rows = rows if until is None else rows.where((F.col("day") <= day(until)) & (F.col("timestamp") <= until))
+        return (rows if modality is None else rows.where(F.col("modality") == modality)).drop("day")
 
 
 def backed_up(df: DataFrame, path: str, version: str) -> str:
@@ -120,7 +184,7 @@ def kept_frames(frames: DataFrame, as_of: float, max_age_seconds: float = 1800.0
     return frames.where(F.col("timestamp") >= as_of - max_age_seconds)
 
 
-def context_vocabulary(projects: DataFrame, skip: tuple[str, ...] = ("personal finance", "stock market", "tax prep", "death planning", "island model", "screen context")) -> DataFrame:
+def context_vocabulary(projects: DataFrame, skip: tuple[str, ...] = SKIPPED_PHRASES) -> DataFrame:
     """(layer, key, value) of project files (name, value): folder names and names in their beginnings, keyed by their spaced form; the first project by name wins."""
     from tidemark.functions.text import camel_phrase, context_names
 
