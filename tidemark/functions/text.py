@@ -95,7 +95,7 @@ def section(text: Column, heading: str) -> Column:
 
 def bullets(body: Column) -> Column:
     """The lines of a list, longer than three characters, without their marks."""
-    lines = F.transform(F.split(body, r"\r?\n"), F.trim)
+    lines = F.transform(F.split(body, r"\r?\n"), lambda x: F.trim(x))
     return F.transform(F.filter(lines, lambda x: x.rlike(r"^[-*]") & (F.length(x) > 3)), lambda x: F.trim(F.regexp_replace(x, r"^[-* ]+", "")))
 
 
