@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from tests.conftest import rows
 from pyspark.sql import functions as F
 
@@ -332,3 +334,21 @@ def test_bounded_queue_and_tails(spark):
     ends = {r["s"]: (r["ended_at"], r["silent"]) for r in queues.tail_ends(spark.createDataFrame(frames, "s string, timestamp double, rms double"), "s", 1.0, 2.0, 30.0).collect()}
     assert ends == {"x": (7.0, True), "y": (30.0, False)}
     assert queues.bounded_queue(df.limit(0), "g", 3.0).count() == 0
+
+
+def test_stored_index_scores_as_a_scan(spark, tmp_path):
+    rng = random.Random(2)
+    words = "meeting meet schedule budget label the plan plans scheduling é".split()
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(0, 14)))
+    docs = spark.createDataFrame([(str(n), text(), text() if n % 5 else None, float(n)) for n in range(120)], "key string, title string, body string, timestamp double")
+    for stemming in (False, True):
+        index = search.TextIndex(spark, str(tmp_path / f"index-{stemming}"), "key", ["title", "body"], ("timestamp",), stemming)
+        index.append(docs.where("timestamp < 70"))
+        index.append(docs.where("timestamp >= 70"))
+        for query in ("schedule", "meet* NOT label", '"the plan"', '"the pl"*', "NEAR(budget schedule, 2)", "title: budget AND (plan OR label)", "e", "nowhere", "schedule meeting"):
+            want = {r["key"]: round(r["score"], 9) for r in search.full_text(docs, ["title", "body"], query, stemming).collect()}
+            assert {r["key"]: round(r["score"], 9) for r in index.search(query).collect()} == want
+    with pytest.raises(ValueError):
+        index.search("NOT label")
+    plan = index.search("schedule")._jdf.queryExecution().optimizedPlan().toString()
+    assert "__word" in plan

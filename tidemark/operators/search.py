@@ -1,13 +1,17 @@
-"""Full-text, vector and hybrid search. Scores come from plain scans: no posting is ever shuffled."""
+"""Full-text, vector and hybrid search: by scans, or over a stored index of words."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -177,16 +181,23 @@ def full_text(docs: DataFrame, columns: list[str], text: str, stemming: bool = F
     held = docs.select("*", *(words_of(F.col(c), stemming).alias(f"__{c}") for c in columns))
     length = reduce(lambda a, b: a + b, (F.size(f"__{c}") for c in columns))
     counted = held.select("*", length.alias("__length"), *(reduce(lambda a, b: a + b, (_hits(t, c) for c in ([t.column] if t.column else columns))).alias(f"__n{i}") for i, t in enumerate(terms)))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("__length").alias("mean"), *(F.count_if(F.col(f"__n{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
-    mean = stats["mean"] or 1.0
+    stats = counted.agg(F.count("*").alias("n"), F.avg("__length").alias("mean"), *_frequencies(terms)).first()
+    return _scored(counted, query, terms, stats["n"], stats["mean"] or 1.0, stats).select(*docs.columns, "score")
+
+
+def _frequencies(terms: list[Term]) -> list[Column]:
+    return [F.count_if(F.col(f"__n{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
+
+
+def _scored(counted: DataFrame, query: Query | Term, terms: list[Term], n: int, mean: float, frequency: Row) -> DataFrame:
+    """Rows with ``__length`` and a count ``__n<i>`` of each term that match the query, with their BM25 score."""
     parts = []
     for i in range(len(terms)):
-        df = stats[f"df{i}"]
-        idf = F.greatest(F.log((F.lit(float(stats["n"])) - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+        df = frequency[f"df{i}"]
+        idf = F.greatest(F.log((F.lit(float(n)) - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
         tf = F.col(f"__n{i}").cast("double")
         parts.append(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__length") / mean)))
-    scored = counted.where(_matches(query, terms)).withColumn("score", reduce(lambda a, b: a + b, parts))
-    return scored.select(*docs.columns, "score")
+    return counted.where(_matches(query, terms)).withColumn("score", reduce(lambda a, b: a + b, parts))
 
 
 def best(df: DataFrame, limit: int, key: str) -> DataFrame:
@@ -252,3 +263,98 @@ def mean_pooled(tokens: Column, mask: Column) -> Column:
     total = F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), F.transform(F.coalesce(F.get(kept, F.lit(0))["v"], F.get(tokens, F.lit(0))), lambda x: x.cast("double")), lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + b))
     norm = F.sqrt(F.aggregate(total, F.lit(0.0), lambda s, x: s + x * x))
     return F.when(F.size(kept) > 0, F.transform(total, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))).otherwise(F.transform(total, lambda x: F.lit(0.0)))
+
+
+class TextIndex:
+    """A stored index of words: one row for each word, row and column, with the word's places, ordered by word.
+
+    Files hold disjoint stretches of words, so a query reads the row groups of its own words or prefixes. A posting
+    carries its row's number of words and the ``carried`` columns, so that nothing else is read to score and filter.
+    New rows are appended with their own files; words are folded, and stemmed if so wished, once, at the write.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, columns: list[str], carried: tuple[str, ...] = (), stemming: bool = False):
+        self.spark, self.path, self.key, self.columns, self.carried, self.stemming = spark, path, key, columns, carried, stemming
+
+    def append(self, docs: DataFrame) -> None:
+        """Add rows, each of which must have a key of its own; rows without key are left out."""
+        words = [words_of(F.col(c), self.stemming).alias(f"__{c}") for c in self.columns]
+        held = docs.where(F.col(self.key).isNotNull()).select(self.key, *self.carried, *words)
+        held = held.withColumn("__length", reduce(lambda a, b: a + b, (F.size(f"__{c}") for c in self.columns)))
+        named = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"__{c}").alias("words")) for c in self.columns)))
+        rows = held.select(self.key, *self.carried, "__length", named.alias("c")).select(self.key, *self.carried, "__length", F.col("c.column").alias("__column"), F.col("c.words").alias("__words"))
+        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__words")
+        postings = rows.mapInArrow(_postings, f"{kept}, __word string, __places array<int>")
+        postings.repartitionByRange("__word", self.key).sortWithinPartitions("__word", self.key).write.mode("append").parquet(f"{self.path}/postings")
+        held.agg(F.count("*").alias("n"), F.coalesce(F.sum("__length"), F.lit(0)).alias("words")).write.mode("append").parquet(f"{self.path}/totals")
+
+    def search(self, text: str) -> DataFrame:
+        """(key, carried columns, score) of the rows that match, with the same scores as ``full_text``.
+
+        A text that is no query, or whose query rows without any of its words could match (NOT alone), is
+        refused with an error: it takes a scan.
+        """
+        query = parse(text, self.columns, self.stemming) if text.strip() else None
+        if query is None or not _anchored(query):
+            raise ValueError("this text takes a scan of all rows")
+        terms = _terms(query)
+        word = F.col("__word")
+        wanted = [word.isin(t.words if not t.prefix else t.words[:-1]) if not t.prefix or len(t.words) > 1 else F.lit(False) for t in terms]
+        wanted += [F.startswith(word, F.lit(t.words[-1])) for t in terms if t.prefix]
+        rows = self.spark.read.parquet(f"{self.path}/postings").where(reduce(lambda a, b: a | b, wanted))
+        held = rows.groupBy(self.key, "__length", *self.carried).agg(F.collect_list(F.struct("__word", "__column", "__places")).alias("__held"))
+        # a row's words of the query put back in their places are all that counting needs
+        for c in self.columns:
+            held = held.withColumn(f"__{c}", _in_place(c))
+        counts = [reduce(lambda a, b: a + b, (_placed_hits(t, c) for c in ([t.column] if t.column else self.columns))).alias(f"__n{i}") for i, t in enumerate(terms)]
+        counted = held.select(self.key, *self.carried, "__length", *counts)
+        totals = self.spark.read.parquet(f"{self.path}/totals").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+        n = totals["n"] or 0
+        return _scored(counted, query, terms, n, (totals["words"] or 0) / n if n and totals["words"] else 1.0, counted.agg(*_frequencies(terms)).first()).select(self.key, *self.carried, "score")
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (..., words) as one row for each different word: (..., word, places)."""
+    for batch in batches:
+        lists, kept = batch.column(batch.num_columns - 1), batch.columns[:-1]
+        words, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        if not len(words):
+            continue
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        coded = words.dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((place, code, row))
+        row, code = row[order], code[order]
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])]))
+        at = pa.array(row[first])
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(words)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([*(c.take(at) for c in kept), coded.dictionary.take(pa.array(code[first])), places], [*batch.schema.names[:-1], "__word", "__places"])
+
+
+def _in_place(column: str) -> Column:
+    """A column's (place, word) in order, from the postings of a row."""
+    own = F.filter("__held", lambda h: h["__column"] == column)
+    return F.array_sort(F.flatten(F.transform(own, lambda h: F.transform(h["__places"], lambda p: F.struct(p.alias("p"), h["__word"].alias("w"))))))
+
+
+def _anchored(query: Query | Term) -> bool:
+    """Does every matching row hold a word of the query?"""
+    if isinstance(query, Term):
+        return True
+    return {"and": any, "or": all, "not": lambda parts: False}[query.op](_anchored(p) for p in query.parts)
+
+
+def _placed_hits(term: Term, column: str) -> Column:
+    """As _hits, from an array of (place, word) that holds the query's words only."""
+    placed = F.col(f"__{column}")
+    last = term.words[-1]
+    ends = lambda w: F.startswith(w, F.lit(last)) if term.prefix else w == F.lit(last)
+    if term.near is not None:
+        one = lambda x, w: F.exists(placed, lambda y: (y["w"] == F.lit(w)) & (y["p"] >= x["p"]) & (y["p"] <= x["p"] + term.near + 1))
+        inside = lambda x: reduce(lambda a, b: a & b, (one(x, w) for w in sorted(set(term.words))))
+        return F.size(F.filter(placed, lambda x: x["w"].isin(term.words) & inside(x)))
+    if len(term.words) == 1:
+        return F.size(F.filter(placed, lambda x: ends(x["w"])))
+    follows = lambda x, n, w: F.exists(placed, lambda y: (y["p"] == x["p"] + n) & (ends(y["w"]) if n == len(term.words) - 1 else y["w"] == F.lit(w)))
+    return F.size(F.filter(placed, lambda x: (x["w"] == F.lit(term.words[0])) & reduce(lambda a, b: a & b, (follows(x, n, w) for n, w in enumerate(term.words[1:], 1)))))

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions.payload import display_text, field, indexed_text, text_content
 from tidemark.operators import mining, recent, routing, search
-from tidemark.operators.ingest import upsert_memories
-from tidemark.plans.durable import table
+from tidemark.operators.ingest import stored_events, upsert_memories
+from tidemark.plans.durable import checkpoint_dir, table
 from tidemark.queries.base import ACTIVITY, BLOCKLIST, CLIPBOARD, MEMORIES, SAID, STORED, clock, once, stored
 from tidemark.queries.oracles import oracles
 
 SEARCH_COLUMNS = (*SAID, "window_title", "app_name")
-SEARCHED = "(schedule OR budget) AND meet* NOT label"
+SEARCHED = "(schedule OR budget OR prompt) AND re* NOT label"
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,19 +168,43 @@ def _searchable(events: DataFrame) -> DataFrame:
     return events.withColumn("text_content", indexed_text(F.col("payload")))
 
 
+#: The stored indexes of this application: built at the first query, as the store would have at each write.
+_indexes: dict[tuple, search.TextIndex] = {}
+
+
+def _index(spark: SparkSession, folder: str, name: str, key: str, columns: list[str], rows: Callable[[], DataFrame], carried: tuple[str, ...] = (), stemming: bool = False) -> search.TextIndex:
+    at = (spark.sparkContext.applicationId, folder, name)
+    if at not in _indexes:
+        index = search.TextIndex(spark, f"{checkpoint_dir(spark)}/tidemark-index-{name}-{uuid.uuid4().hex}", key, columns, carried, stemming)
+        index.append(rows())
+        _indexes[at] = index
+    return _indexes[at]
+
+
+def build_indexes(spark: SparkSession, folder: str) -> None:
+    """Write the indexes that the search queries read, as a store has them before anybody searches."""
+    for query in (j1_event_search, j2_activity_search, j3_memory_search):
+        query(spark, folder)
+
+
+def _event_index(spark: SparkSession, folder: str, stemming: bool = False) -> search.TextIndex:
+    rows = lambda: _searchable(stored(spark, folder, columns=SEARCH_COLUMNS))
+    return _index(spark, folder, f"events-{stemming}".lower(), "event_id", ["window_title", "app_name", "text_content"], rows, ("timestamp",), stemming)
+
+
 def j1_event_search(spark: SparkSession, folder: str) -> DataFrame:
-    now = clock(spark, folder)
-    found = search.full_text(_searchable(stored(spark, folder, now, columns=SEARCH_COLUMNS)), ["window_title", "app_name", "text_content"], SEARCHED).where(F.col("timestamp") > now - 200_000)
-    return search.best(found, 50, "event_id").select("event_id", F.round("score", 6).alias("score"))
+    found = _event_index(spark, folder).search(SEARCHED).where(F.col("timestamp") > clock(spark, folder) - 200_000)
+    return search.best(found, 200, "event_id").select("event_id", F.round("score", 6).alias("score"))
 
 
 def j1_stemmed_search(spark: SparkSession, folder: str) -> DataFrame:
-    found = search.full_text(_searchable(stored(spark, folder, columns=SEARCH_COLUMNS)), ["window_title", "app_name", "text_content"], "scheduling meetings", stemming=True)
-    return search.best(found, 50, "event_id").select("event_id", F.round("score", 6).alias("score"))
+    found = _event_index(spark, folder, True).search("scheduling OR meetings")
+    return search.best(found, 500, "event_id").select("event_id", F.round("score", 6).alias("score"))
 
 
 def j2_activity_search(spark: SparkSession, folder: str) -> DataFrame:
-    found = search.full_text(once(spark, folder, "activity"), ["window_title", "app_name", "ocr_text"], '"the schedule" OR budg*')
+    rows = lambda: once(spark, folder, "activity")
+    found = _index(spark, folder, "activity", "id", ["window_title", "app_name", "ocr_text"], rows, ("timestamp",)).search('"the schedule" OR budg*')
     return recent.newest(found, 20, "timestamp", "id").select("id", "timestamp")
 
 
@@ -192,7 +219,8 @@ def _vector(memories: DataFrame) -> list[float]:
 
 
 def j3_memory_search(spark: SparkSession, folder: str) -> DataFrame:
-    return search.best(search.full_text(_memories(spark, folder), ["key", "value", "tags_text"], "schedule budget OR voice"), 20, "key").select("key", F.round("score", 6).alias("score"))
+    found = _index(spark, folder, "memories", "key", ["key", "value", "tags_text"], lambda: _memories(spark, folder)).search("schedule budget OR voice")
+    return search.best(found, 20, "key").select("key", F.round("score", 6).alias("score"))
 
 
 def j5_warm_cold(spark: SparkSession, folder: str) -> DataFrame:
@@ -213,7 +241,9 @@ def j7_hybrid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j9_search_view(spark: SparkSession, folder: str) -> DataFrame:
-    found = search.best(search.full_text(_searchable(stored(spark, folder, columns=SEARCH_COLUMNS)), ["window_title", "app_name", "text_content"], "meeting OR schedule"), 50, "event_id")
+    top = F.broadcast(search.best(_event_index(spark, folder).search("meeting OR schedule"), 50, "event_id").select("event_id", "score"))
+    raw = table(spark, folder, "spine_events").join(top, "event_id", "left_semi")
+    found = _searchable(stored_events(raw, clock(spark, folder), columns=SEARCH_COLUMNS)).join(top, "event_id")
     shown = search.best(found.where(~recent.blocked(F.col("window_title"), BLOCKLIST)), 25, "event_id")
     return shown.select("event_id", T.snippet(F.coalesce("text_content", F.lit("")), 150).alias("snippet"))
 
@@ -263,7 +293,7 @@ ORACLES = {
     "d14_learned_phrases": rf"WITH d AS (SELECT regexp_replace(text, '([a-z])([A-Z])', '\1 \2', 'g') AS raw, text AS clean FROM documents WHERE text IS NOT NULL), w AS (SELECT lower(raw) AS raw, unnest(regexp_extract_all(clean, {_CAMEL}, 1)) AS corrected FROM d WHERE clean <> '' AND lower(raw) <> clean), ph AS (SELECT *, {_PHRASE.format('corrected')} AS original FROM w) SELECT original, corrected, count(*) AS n, least(0.95, 0.5 + count(*) * 0.1) AS confidence FROM ph WHERE contains(original, ' ') AND length(original) >= 6 AND contains(raw, original) GROUP BY 1, 2 HAVING count(*) >= 2 AND len(list_filter(string_split(original, ' '), lambda x: x NOT IN ({', '.join(chr(39) + w + chr(39) for w in mining.COMMON_WORDS)}))) > 0",
     "i28_layers": "SELECT key, value, layer FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rank, value) AS nth FROM (SELECT lower(trim(split_part(key, ':', 1))) AS key, value, id % 3 AS rank, CASE id % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'learned' ELSE 'context' END AS layer FROM memories) WHERE key <> '' AND value IS NOT NULL) WHERE nth = 1",
     "c10_new_entries": "WITH r AS (SELECT coalesce(attention_score > 0.3, false) AS u, split_part(key, ':', 1) AS key, value FROM memories) SELECT key, value FROM r WHERE NOT u AND trim(key) <> trim(value) AND length(trim(key)) >= 6 AND key NOT IN (SELECT key FROM r WHERE u)",
-    "j1_event_search": STORED + _bm25_sql(_EVENTS, "event_id", _COLUMNS, {"a": "x = 'schedule'", "b": "x = 'budget'", "c": "starts_with(x, 'meet')", "d": "x = 'label'"}, "(a > 0 OR b > 0) AND c > 0 AND d = 0") + "SELECT event_id, round(score, 6) AS score FROM scored, clock WHERE timestamp > now - 200000 ORDER BY scored.score DESC, event_id LIMIT 50",
+    "j1_event_search": STORED + _bm25_sql(_EVENTS, "event_id", _COLUMNS, {"a": "x = 'schedule'", "b": "x = 'budget'", "e": "x = 'prompt'", "c": "starts_with(x, 're')", "d": "x = 'label'"}, "(a > 0 OR b > 0 OR e > 0) AND c > 0 AND d = 0") + "SELECT event_id, round(score, 6) AS score FROM scored, clock WHERE timestamp > now - 200000 ORDER BY scored.score DESC, event_id LIMIT 200",
     "j3_memory_search": _MEM + _bm25_sql(_TAGGED, "key", ["key", "value", "tags_text"], {"a": "x = 'schedule'", "b": "x = 'budget'", "c": "x = 'voice'"}, "(a > 0 AND b > 0) OR c > 0") + "SELECT key, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, key LIMIT 20",
     "j6_semantic": _MEM + _SEM + " SELECT key, similarity FROM sem WHERE NOT isnan(similarity) ORDER BY similarity DESC, key LIMIT 20",
     "j7_hybrid": _MEM + _SEM + _bm25_sql(_TAGGED, "key", ["key", "value", "tags_text"], {"a": "x = 'schedule'", "b": "x = 'budget'"}, "a > 0 OR b > 0") + ", l1 AS (SELECT key, row_number() OVER (ORDER BY score DESC, key) AS rank FROM scored), l2 AS (SELECT key, row_number() OVER (ORDER BY similarity DESC, key) AS rank FROM sem WHERE NOT isnan(similarity)) SELECT key, round_even(sum(1.0 / (60 + rank)), 6) AS rrf_score FROM (SELECT * FROM l1 WHERE rank <= 60 UNION ALL SELECT * FROM l2 WHERE rank <= 60) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
