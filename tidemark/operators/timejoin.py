@@ -28,14 +28,22 @@ def range_join(left: DataFrame, right: DataFrame, low: float, high: float, time:
     return lefts.join(rights, "__bucket").where((at > start + low) & (at < start + high)).drop("__bucket")
 
 
-def nearest_join(probes: DataFrame, rows: DataFrame, probe_key: str, row_key: str, time: str = "timestamp", width: float = 3600.0) -> DataFrame:
+#: Rows of a bucket in which a probe looks for its nearest row.
+ROWS_IN_BUCKET = 16
+
+
+def nearest_join(probes: DataFrame, rows: DataFrame, probe_key: str, row_key: str, time: str = "timestamp", width: float | None = None) -> DataFrame:
     """(probe_key, row_key, gap): for each probe the row nearest in time on either side, ties to the smaller row key.
 
+    Buckets are as wide as ``ROWS_IN_BUCKET`` rows need on average (or ``width`` seconds), so a denser log has narrower ones.
     A probe looks at the rows of its own bucket and at the last and first row of the nearest
     filled buckets around it; only the buckets' ends, one row for each, are put in order. Without
     rows no probe has a result; probes and rows without a usable time take no part.
     """
     usable = f"{time} is not null and not isnan({time})"
+    if width is None:
+        span = rows.where(usable).agg(F.count("*").alias("n"), (F.max(time) - F.min(time)).alias("span")).first()
+        width = max(ROWS_IN_BUCKET * (span["span"] or 0.0) / max(span["n"], 1), 1e-3)
     at = F.floor(F.col(time) / width).cast("bigint")
     p = probes.where(usable).select(F.col(probe_key).alias("__probe"), F.col(time).alias("__at"), at.alias("__bucket"))
     r = rows.where(usable).select(F.col(row_key).alias("__row"), F.col(time).alias("__time"), at.alias("__bucket"))

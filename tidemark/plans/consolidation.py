@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.payload import field
 from tidemark.operators import mining, summaries
+from tidemark.plans.durable import durable
 
 log = logging.getLogger(__name__)
 DAY = 86_400.0
@@ -40,7 +41,7 @@ def consolidated(events: DataFrame, clips: DataFrame, vocabulary: DataFrame, as_
     audit, learned = [], vocabulary.limit(0)
     for name, step in steps.items():
         try:
-            found = step()
+            found = durable(step())  # counted, and read again below
             audit.append((name, found.count()))
             if name != "clipboard_harvested":
                 learned = learned.unionByName(found)
