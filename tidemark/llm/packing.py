@@ -13,6 +13,8 @@ from tidemark.plans.durable import durable
 
 #: Length buckets of one capacity.
 MAX_BUCKETS = 512
+#: Lengths of all windows together, one row of the histogram each, that the driver may hold.
+MAX_LENGTHS = 5_000_000
 #: Items of one length that are numbered by one task.
 ITEMS_PER_SALT = 200_000
 
@@ -126,7 +128,7 @@ def pack_sizes(sizes: DataFrame, windows: DataFrame, max_buckets: int = MAX_BUCK
     """Put every item of (doc_id, n_tokens) into a container of each capacity of ``windows`` (window_id, capacity_tokens).
 
     The global histogram of lengths, at most one count for each length up to the capacity, is the
-    only thing the driver sees. Dynamic programming cuts it into buckets with the least padding;
+    only thing the driver sees; capacities of more than ``MAX_LENGTHS`` together are refused with an error. Dynamic programming cuts it into buckets with the least padding;
     containers are then filled with items of a bucket's bound, best fit first, so that what one
     bucket leaves over is used by another. An item above the capacity alone is split: full
     containers, and the rest as an item of its own. Items of no tokens go to container 0, which
@@ -134,7 +136,10 @@ def pack_sizes(sizes: DataFrame, windows: DataFrame, max_buckets: int = MAX_BUCK
     window_id, capacity_tokens, doc_id, part, n_tokens, prompt_id.
     """
     spark = sizes.sparkSession
-    wanted = [(w["window_id"], w["capacity_tokens"]) for w in windows.select("window_id", "capacity_tokens").where("window_id is not null and capacity_tokens > 0").distinct().collect()]
+    within = windows.where("window_id is not null and capacity_tokens > 0").select("window_id", "capacity_tokens").distinct()
+    if (within.agg(F.sum(F.col("capacity_tokens").cast("bigint"))).first()[0] or 0) > MAX_LENGTHS:
+        raise ValueError(f"the capacities of all windows together exceed {MAX_LENGTHS} tokens")
+    wanted = [(w["window_id"], w["capacity_tokens"]) for w in within.collect()]
     schema = "window_id int, capacity_tokens int, doc_id bigint, part int, n_tokens bigint, prompt_id bigint"
     if not wanted:
         return spark.createDataFrame([], schema)
@@ -145,8 +150,11 @@ def pack_sizes(sizes: DataFrame, windows: DataFrame, max_buckets: int = MAX_BUCK
     items = each.withColumn("part", F.explode(parts)).withColumn("n_tokens", F.least("capacity_tokens", F.col("n_tokens") - F.col("part").cast("bigint") * F.col("capacity_tokens")))
     plans, bounds = [], {}
     counted = items.where("n_tokens > 0").groupBy("window_id", "n_tokens").agg(F.count("*").alias("n")).collect()
+    histograms: dict[int, dict[int, int]] = {window: {} for window, _ in wanted}
+    for r in counted:
+        histograms[r["window_id"]][r["n_tokens"]] = r["n"]
     for window, size in wanted:
-        histogram = {r["n_tokens"]: r["n"] for r in counted if r["window_id"] == window}
+        histogram = histograms[window]
         bounds[window] = bucket_bounds(histogram, max_buckets)
         filled: dict[int, int] = {}
         for length, n in histogram.items():
@@ -156,7 +164,7 @@ def pack_sizes(sizes: DataFrame, windows: DataFrame, max_buckets: int = MAX_BUCK
         plans += [(window, bucket, [(s.rank, s.container, s.each) for s in segments]) for bucket, segments in plan.items()]
     # both tables have at most one row for each token of a capacity
     planned = spark.createDataFrame(plans, "window_id int, bucket bigint, segments array<struct<rank:bigint,container:bigint,each:bigint>>")
-    lengths = spark.createDataFrame([(w, length, b[bisect.bisect_left(b, length)]) for w, b in bounds.items() for length in sorted({r["n_tokens"] for r in counted if r["window_id"] == w})], "window_id int, n_tokens bigint, bucket bigint")
+    lengths = spark.createDataFrame([(w, length, b[bisect.bisect_left(b, length)]) for w, b in bounds.items() for length in histograms[w]], "window_id int, n_tokens bigint, bucket bigint")
     ranked = _ranked(items.where("n_tokens > 0").join(F.broadcast(lengths), ["window_id", "n_tokens"]))
     last = F.element_at(F.filter("segments", lambda s: s["rank"] <= F.col("rank")), -1)
     placed = ranked.join(F.broadcast(planned), ["window_id", "bucket"]).withColumn("s", last)
