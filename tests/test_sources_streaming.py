@@ -1,7 +1,6 @@
 import json
 
 from tests.conftest import rows
-from pyspark.sql import functions as F
 
 from tidemark.operators.routing import parsed_projects
 from tidemark.sources import files

@@ -123,13 +123,14 @@ def cross_modal(events: DataFrame, since: float, after: float = 30.0, around: fl
     said = recent.where("modality = 'voice' and event_type = 'transcription'").select("event_id", "timestamp")
     fixed = events.where("modality = 'keys' and event_type = 'correction_detected'").select("event_id", "timestamp", F.lower(F.trim(original_word(p))).alias("original"), F.trim(corrected_word(p)).alias("corrected"))
     fixes = range_join(said, fixed.where("original <> '' and corrected <> ''"), 0, after)
-    screens = range_join(said, _screen(events, min_confidence), -around, around)
-    names = screens.groupBy("l_event_id").agg(F.array_distinct(F.flatten(F.collect_list(T.camel_words(F.col("r_text"))))).alias("names"))
-    both = fixes.select("l_event_id", F.col("r_event_id").alias("correction"), F.col("r_original").alias("original"), F.col("r_corrected").alias("corrected")).join(names, "l_event_id")
-    exact = F.array_contains("names", F.col("corrected"))
-    part = F.exists("names", lambda n: F.contains(F.lower(n), F.lower("corrected")))
-    scored = both.withColumn("confidence", F.when(exact, 0.95).when(part, 0.80)).where("confidence is not null")
-    return scored.select(F.col("l_event_id").alias("transcription"), "correction", "original", "corrected", "confidence", F.when(exact, "cross_modal_screen_verified").otherwise("cross_modal_app_context").alias("source"))
+    # names meet dictations one by one: no list of all names on the screens around one is built
+    seen = _screen(events, min_confidence).select("timestamp", F.explode(T.camel_words(F.col("text"))).alias("name"))
+    names = range_join(said, seen, -around, around).select("l_event_id", F.col("r_name").alias("name")).distinct()
+    fixed_by = fixes.select("l_event_id", F.col("r_event_id").alias("correction"), F.col("r_original").alias("original"), F.col("r_corrected").alias("corrected"))
+    part = F.contains(F.lower("name"), F.lower("corrected"))
+    scored = fixed_by.join(names, "l_event_id").withColumn("confidence", F.when(F.col("name") == F.col("corrected"), 0.95).when(part, 0.80)).where("confidence is not null")
+    best = scored.groupBy(F.col("l_event_id").alias("transcription"), "correction", "original", "corrected").agg(F.max("confidence").alias("confidence"))
+    return best.withColumn("source", F.when(F.col("confidence") == 0.95, "cross_modal_screen_verified").otherwise("cross_modal_app_context"))
 
 
 def harvest_for(dictations: DataFrame, screens: DataFrame, before: float = 60.0) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.functions import text as T
-from tidemark.operators import mining, routing
+from tidemark.operators import routing
 from tidemark.queries.base import ACTIVITY, CLIPBOARD, MEMORIES, STORED
 
 _CLIP, _ACT, _MEM = STORED + ", " + CLIPBOARD, STORED + ", " + ACTIVITY, STORED + ", " + MEMORIES
