@@ -352,3 +352,22 @@ def test_stored_index_scores_as_a_scan(spark, tmp_path):
         index.search("NOT label")
     plan = index.search("schedule")._jdf.queryExecution().optimizedPlan().toString()
     assert "__word" in plan
+
+
+def test_previous_rows_across_ranges(spark):
+    from tidemark.operators.ordered import with_previous
+
+    rng = random.Random(4)
+    data = [(n, rng.choice(["a", "a", "a", "b", None]), float(rng.randrange(200)), rng.choice(["x", "y", None])) for n in range(400)]
+    df = spark.createDataFrame(data, "id bigint, g string, timestamp double, v string")
+    want, last = {}, {}
+    for n, g, t, v in sorted(data, key=lambda r: (r[1] or "", r[2], r[0])):
+        want[n] = (g in last, last.get(g))
+        last[g] = v
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = {r["id"]: (r["has_previous"], r["previous_v"]) for r in with_previous(df, "g", "timestamp", "id", ["v"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want
+    assert with_previous(df.limit(0), "g", "timestamp", "id", ["v"]).count() == 0

@@ -9,26 +9,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import greedy_in_order, runs_in_order
+from tidemark.operators.ordered import greedy_in_order, runs_in_order, with_previous
 
 
-def drop_repeats(df: DataFrame, value: str, group: str, *order: str) -> DataFrame:
+def drop_repeats(df: DataFrame, value: str, group: str, time: str, key: str) -> DataFrame:
     """Rows whose value differs from the row before in their group; the first row stays, null counts as a value."""
-    window = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("__before", F.lag(value).over(window)).withColumn("__nth", F.row_number().over(window)).where((F.col("__nth") == 1) | ~F.col(value).eqNullSafe(F.col("__before"))).drop("__before", "__nth")
+    before = with_previous(df, group, time, key, [value])
+    return before.where(~F.col("has_previous") | ~F.col(value).eqNullSafe(F.col(f"previous_{value}"))).select(*df.columns)
 
 
 def focus_changes(df: DataFrame, group: str = "monitor_index", time: str = "timestamp", key: str = "id") -> DataFrame:
-    """Rows whose title differs from the last title before it that was not missing (missing ones are passed over)."""
-    window = Window.partitionBy(group).orderBy(time, key)
-    titled = df.where("window_title <> ''").withColumn("previous_title", F.lag("window_title").over(window))
-    return titled.where("previous_title is not null and previous_title <> window_title")
+    """Rows whose title differs from the last title before it that was not missing (missing ones are passed over), with ``previous_title``."""
+    titled = with_previous(df.where("window_title <> ''"), group, time, key, ["window_title"]).withColumnRenamed("previous_window_title", "previous_title")
+    return titled.where("previous_title is not null and previous_title <> window_title").drop("has_previous")
 
 
 def idle_wakes(df: DataFrame, group: str, idle_seconds: float = 30.0, time: str = "timestamp", key: str = "id") -> DataFrame:
     """Rows that come at least ``idle_seconds`` after the row before in their group, with the gap."""
-    window = Window.partitionBy(group).orderBy(time, key)
-    return df.where(f"{time} is not null and not isnan({time})").withColumn("gap", F.col(time) - F.lag(time).over(window)).where(F.col("gap") >= idle_seconds)
+    before = with_previous(df.where(f"{time} is not null and not isnan({time})"), group, time, key, [time])
+    return before.withColumn("gap", F.col(time) - F.col(f"previous_{time}")).where(F.col("gap") >= idle_seconds).drop("has_previous", f"previous_{time}")
 
 
 def adaptive_interval(gap: Column, base: float, idle: float, threshold: float = 60.0) -> Column:

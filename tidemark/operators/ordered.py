@@ -229,3 +229,44 @@ def greedy_in_order(df: DataFrame, group: str, time: str, key: str, gap: float)
 
     late = waiting.repartition("__chain").sortWithinPartitions("__chain", *order).mapInArrow(second_pass, fields)
     return parts.where("not __waits").select(*columns).unionByName(late)
+
+
+def with_previous(df: DataFrame, group: str, time: str, key: str, columns: Sequence[str]) -> DataFrame:
+    """``df`` with ``has_previous`` and ``previous_<column>``: the row before in the same group, in order of time, then key.
+
+    Rows are cut into ranges, so a group that holds all rows is spread over all cores; only the first row of a range looks at the
+    last one of the range before. Nulls are a group and come first.
+    """
+    order, kept = [group, time, key], df.columns
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    added = [f"previous_{c}" for c in columns]
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), *(f"`previous_{c}` {types[c]}" for c in columns), "has_previous boolean", "__head boolean", "__range bigint"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, last = TaskContext.get().partitionId(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            joined = rows if last is None else pa.concat_tables([last, rows])
+            at = np.arange(len(rows)) - (last is None)
+            before = joined.take(pa.array(at, mask=at < 0))
+            own, other = rows[group].combine_chunks(), before[group].combine_chunks()
+            same = pc.or_(pc.fill_null(pc.equal(own, other), False), pc.and_(pc.is_null(own), pc.is_null(other)))
+            same = pc.and_(same, pa.array(at >= 0))
+            head = np.zeros(len(rows), bool)
+            head[0] = last is None
+            values = [pc.if_else(same, _plain(before[c]), pa.nulls(len(rows), before[c].type)) for c in columns]
+            arrays = [*batch.columns, *(_plain(v) for v in values), same, pa.array(head), pa.array(np.full(len(rows), number))]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, *added, "has_previous", "__head", "__range"])
+            last = rows.slice(len(rows) - 1)
+
+    parts = durable(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scan, schema))
+    ends = parts.groupBy("__range").agg(F.max_by(F.struct(F.col(group).alias("__group"), *(F.col(c).alias(f"__{c}") for c in columns)), F.struct(*order)).alias("end"))
+    before = ends.select("__range", F.lag("end").over(Window.orderBy("__range")).alias("end"))
+    heads = parts.where("__head").drop("has_previous", *added).join(before, "__range")
+    same = F.col("end").isNotNull() & F.col(group).eqNullSafe(F.col("end.__group"))
+    joined = heads.select(*kept, *(F.when(same, F.col(f"end.__{c}")).alias(f"previous_{c}") for c in columns), same.alias("has_previous"))
+    return parts.where("not __head").select(*kept, *added, "has_previous").unionByName(joined)
