@@ -77,6 +77,18 @@ def test_ingest_dedup_and_isolated_sinks(spark, tmp_path):
     assert seen == ["a"]
 
 
+def test_fan_out_reads_tables_of_one_file_and_of_parts(spark, tmp_path):
+    from tidemark.queries.more import a4_fan_out
+
+    source = spark.read.parquet("/root/testdata/sf0.001/spine_events.parquet")
+    want = rows(a4_fan_out(spark, "/root/testdata/sf0.001"))
+    source.repartition(3).write.parquet(str(tmp_path / "spine_events.parquet"))
+    assert want and rows(a4_fan_out(spark, str(tmp_path))) == want
+    (tmp_path / "none").mkdir()
+    source.where("false").write.parquet(str(tmp_path / "none" / "spine_events.parquet"))
+    assert rows(a4_fan_out(spark, str(tmp_path / "none"))) == []
+
+
 def test_stream_sessions_rollup_and_debounce(spark, tmp_path):
     data = [(f"e{n}", T0 + t, "sight", "click", "App") for n, t in enumerate([0, 100, 500, 501, 50_000])]
     source = S.with_time(stream(spark, tmp_path / "in", data))
